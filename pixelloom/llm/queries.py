@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pii, sharding
+from . import bpe, line_dedup, packing, pii, quality, sharding
 from .common import ship
 
 
@@ -18,9 +18,12 @@ def _shipped(f):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        bpe.op3_byte_bpe,
         line_dedup.op4_line_dedup,
         pii.op5_pii_spans,
         sharding.op6_feistel_shards,
+        quality.op9_quality_rules,
+        packing.op10_pack_windows,
     )
 }
 
