@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, pii, quality, sharding
+from . import bpe, jaccard_join, line_dedup, packing, pii, quality, sharding, warc
 from .common import ship
 
 
@@ -18,13 +18,19 @@ def _shipped(f):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        warc.op1_warc_salvage,
         bpe.op3_byte_bpe,
         line_dedup.op4_line_dedup,
         pii.op5_pii_spans,
         sharding.op6_feistel_shards,
+        jaccard_join.op8_jaccard_join,
         quality.op9_quality_rules,
         packing.op10_pack_windows,
     )
 }
 
-ORACLES = {"op4_line_dedup": line_dedup.OP4_SQL}
+ORACLES = {
+    "op1_warc_salvage": warc.OP1_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
+}
