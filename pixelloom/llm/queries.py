@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, packing, pii, quality, sharding, warc
+from . import bpe, jaccard_join, line_dedup, packing, pii, quality, sharding, warc, weighted_sampling
 from .common import ship
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         warc.op1_warc_salvage,
+        weighted_sampling.op2_weighted_sampling,
         bpe.op3_byte_bpe,
         line_dedup.op4_line_dedup,
         pii.op5_pii_spans,
