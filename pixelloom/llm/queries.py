@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, packing, pii, quality, sharding, warc, weighted_sampling
+from . import bpe, jaccard_join, line_dedup, packing, pii, quality, sharding, site_quality, warc, weighted_sampling
 from .common import ship
 
 
@@ -24,6 +24,7 @@ QUERIES = {
         line_dedup.op4_line_dedup,
         pii.op5_pii_spans,
         sharding.op6_feistel_shards,
+        site_quality.op7_site_quality,
         jaccard_join.op8_jaccard_join,
         quality.op9_quality_rules,
         packing.op10_pack_windows,
