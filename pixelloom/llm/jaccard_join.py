@@ -418,8 +418,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     n_wanted = wanted.count()
     if n_wanted:
         bits = spark.sparkContext.broadcast(_filter_bits(wanted, n_wanted))
+        # the few sets too many, and a second copy where a row is repeated, change nothing in what follows
         sets = written(_node_sets(given, width, bits, shared, cuts), "sets")
-        sets = sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
         n_pairs = pairs.count()
         n_tasks = max(12, int(2 * n_wanted * max(1.0, total / max(1, rows.count())) / PER_TASK), n_pairs // 20_000)
         first = cut(_linked(pairs, sets, percent, n_tasks))
