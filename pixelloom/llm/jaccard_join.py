@@ -6,8 +6,9 @@ is dealt out by fragment:
 1. *Order.* Every task counts shingles into ORDER_BUCKETS buckets; the sums (a table of fixed size) order shingles by
    (count of the bucket, hash). Equal sets have equal signatures and are one node from here on.
 2. *Candidates.* Two sets as alike as asked share a shingle of their prefixes. Prefixes go to their fragments, where the
-   shingles' lists give pairs that pass the length and position filters. A list of more than LONG nodes gives only
-   pairs with its first LEADERS nodes, and is remembered.
+   shingles' lists give pairs that pass the length and position filters, and how many shingles each pair shares there;
+   the sum over fragments must leave a chance to reach the similarity. A list of more than LONG nodes gives only pairs with
+   its first LEADERS nodes, and is remembered.
 3. *Overlaps.* The sets of the nodes in pairs are cut at the fragments' bounds; partial overlaps are counted for each
    fragment on its own and summed per pair, and the exact test decides.
 4. *Long lists.* Their nodes are mostly connected by now. Lists that share nodes form a cell; its nodes outside the
@@ -177,12 +178,18 @@ def _fragments(given: DataFrame, width: int, percent: int, counts, pivots: np.nd
     return given.mapInArrow(run, "frag int, sigs binary, sizes binary, places binary, many binary, tokens binary")
 
 
+PAIR_DDL = "list bigint, h bigint, c bigint, a binary, b binary, na bigint, nb bigint, star boolean"
+
+
 def _paired(percent: int):
-    """For a fragment: pairs (a, b, na, nb) of signatures, and rows (list, a, na) of the long lists' nodes."""
-    names = ["list", "a", "b", "na", "nb"]
+    """For a fragment, rows of three kinds: pairs of signatures (h, c, a, b, na, nb, star) that pass the filters, with
+    the number c of prefix shingles that they share here; (h, c) alone of pairs that share some but pass no filter here; and
+    nodes of long lists (list, a, na). h stands for the pair wherever it is met."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+    names = [x.split()[0] for x in PAIR_DDL.split(", ")]
 
-    def out(lists, a, b, na, nb):
-        return pa.table([pa.array(lists, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names)
+    def out(n, **cols):
+        return pa.table([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
 
     def run(rows):
         cat = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
@@ -201,41 +208,67 @@ def _paired(percent: int):
         token, owner, place = token[fresh], owner[fresh], place[fresh]
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(begins, len(token)))
-        found = np.zeros(0, np.uint64)
-
-        def keep(i, j):
-            nonlocal found
+        met = [np.zeros((0, 3), np.int64)]  # pair, shared shingles, filters passed (1) and star (2)
+
+        def packed():
+            """met as one array with a row for each pair."""
+            got = np.concatenate(met)
+            got = got[np.argsort(got[:, 0], kind="stable")]
+            at = np.flatnonzero(np.concatenate([[True], got[1:, 0] != got[:-1, 0]])) if len(got) else np.zeros(0, int)
+            if not len(at):
+                return got
+            return np.stack([got[at, 0], np.add.reduceat(got[:, 1], at), np.bitwise_or.reduceat(got[:, 2], at)], 1)
+
+        def keep(i, j, star):
             a, b = owner[i], owner[j]
             na, nb = size[a], size[b]
-            need = -(-percent * (na + nb) // (100 + percent))
-            good = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - place[i], nb - place[j]) - 1 >= need)
-            a, b = a[good], b[good]
-            found = np.unique(np.concatenate([found, (np.minimum(a, b) << 32 | np.maximum(a, b)).astype(np.uint64)]))
-
-        short = np.repeat((length > 1) & (length <= LONG), length)
-        i = np.flatnonzero(short)
+            near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            passed = np.minimum(na - place[i], nb - place[j]) >= -(-percent * (na + nb) // (100 + percent))
+            pair = np.minimum(a, b) << 32 | np.maximum(a, b)
+            met.append(np.stack([pair, np.ones(len(pair), np.int64), passed * (1 + 2 * star)], 1)[near])
+            if sum(map(len, met)) > 4_000_000:
+                met[:] = [packed()]
+
+        i = np.flatnonzero(np.repeat((length > 1) & (length <= LONG), length))
         for step in range(1, LONG):
-            i = i[(i + step < len(token))]
+            i = i[i + step < len(token)]
             i = i[token[i + step] == token[i]]
             if not len(i):
                 break
-            keep(i, i + step)
-        list_rows = [[], [], []]
+            keep(i, i + step, 0)
+        lists = [[], [], []]
         for b, n in zip(begins[length > LONG].tolist(), length[length > LONG].tolist(), strict=True):
             for k in range(LEADERS):
-                keep(np.full(n - k - 1, b + k), np.arange(b + k + 1, b + n))
+                keep(np.full(n - k - 1, b + k), np.arange(b + k + 1, b + n), 1)
             who = owner[b : b + n]
-            list_rows[0] += [int(token[b].view(np.int64))] * n
-            list_rows[1] += [x.tobytes() for x in sig[who]]
-            list_rows[2] += size[who].tolist()
-        a, b = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        pairs = out([None] * len(a), [x.tobytes() for x in sig[a]], [x.tobytes() for x in sig[b]], size[a], size[b])
-        n = len(list_rows[0])
-        return pa.concat_tables([pairs, out(list_rows[0], list_rows[1], [None] * n, list_rows[2], [None] * n)])
+            lists[0] += [int(token[b].view(np.int64))] * n
+            lists[1] += [x.tobytes() for x in sig[who]]
+            lists[2] += size[who].tolist()
+        got = packed()
+        a, b = got[:, 0] >> 32, got[:, 0] & 0xFFFFFFFF
+        two = sig.view(">u8").reshape(-1, 2).astype(np.uint64)
+        h = tb.mixed(two[a, 0] ^ tb.mixed(two[a, 1] ^ tb.mixed(two[b, 0] ^ tb.mixed(two[b, 1])))).view(np.int64)
+        full = got[:, 2] > 0
+        pairs = out(int(full.sum()), h=h[full], c=got[full, 1], a=[x.tobytes() for x in sig[a[full]]], b=[x.tobytes() for x in sig[b[full]]], na=size[a[full]], nb=size[b[full]], star=got[full, 2] > 1)
+        light = out(int((~full).sum()), h=h[~full], c=got[~full, 1])
+        return pa.concat_tables([pairs, light, out(len(lists[0]), list=lists[0], a=lists[1], na=lists[2])])
 
     return run
 
 
+def _candidates(found: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of the pairs that can be alike by what their prefixes share.
+
+    Beyond the shared prefix shingles only the larger of the two rests can add to the overlap. Pairs of a long list are not
+    counted in full there; those with its leaders stay, and all others of the list are looked at again later.
+    """
+    sums = found.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
+    full = found.filter("b is not null").groupBy("a", "b", "h").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"))
+    rest = f"({percent} * greatest(na, nb) + 99) div 100 - 1"
+    need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    return full.join(sums, "h").filter(f"star or c + {rest} >= {need}").select("a", "b", "na", "nb")
+
+
 def _filter_bits(ids: DataFrame, n: int) -> np.ndarray:
     """A Bloom filter (2 hashes) of ids, as bytes; gathered in pieces of 16 KB, MOST_BITS at most."""
     bits = 1 << max(17, min(MOST_BITS, 16 * n).bit_length())
@@ -407,9 +440,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pivots, cuts = _quantiles(counts, shares), _quantiles(counts, np.arange(1, CUTS) / CUTS)
     shared = spark.sparkContext.broadcast(counts)
     found = written(
-        _fragments(given, width, percent, shared, pivots).groupBy("frag").applyInArrow(_paired(percent), "list bigint, a binary, b binary, na bigint, nb bigint"), "pairs"
+        _fragments(given, width, percent, shared, pivots).groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs"
     )
-    pairs = cut(found.filter("list is null").select("a", "b", "na", "nb").dropDuplicates(["a", "b"]))
+    pairs = cut(_candidates(found, percent))
     lists = found.filter("list is not null").select("list", "a", "na")
     nodes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     wanted = reduce(DataFrame.unionByName, (d.select(F.col(c).alias("sig")) for d, c in ((pairs, "a"), (pairs, "b"), (lists, "a")))).distinct()
