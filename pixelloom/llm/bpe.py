@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import table
+from .common import table, tidied
 
 #: Symbols. STMD are the letters of one-letter contractions; R, V, L, E are those of two.
 SPACE, BLANK, NUMBER, OTHER, QUOTE, LETTER, STMD, R, V, L, E = range(11)
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -
             found = [ids for _, _, data, offs in tb.text_runs(batch.column(at)) for ids in enc.encode(data, offs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names[:at], "ids"])
 
-    return given.mapInArrow(run, _ddl(own, "ids array<int>"))
+    return given.mapInArrow(lambda b: tidied(run(b)), _ddl(own, "ids array<int>"))
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -274,7 +274,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, carry: list[str], text_co
                     decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())], [*batch.schema.names[:at], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return given.mapInArrow(run, _ddl(docs.select(*carry), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"))
+    return given.mapInArrow(lambda b: tidied(run(b)), _ddl(docs.select(*carry), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"))
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """df as a compressed table in the shared folder: a lineage cut for what is too wide for a checkpoint."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -80,5 +80,21 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(at / "pixelloom_code.zip"))
 
 
+def tidied(batches):
+    """What a Python worker yields; at the end it gives freed memory back, as workers live on from job to job."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

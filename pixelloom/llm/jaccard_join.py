@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import cut, table, text_or_empty, written
+from .common import cut, table, text_or_empty, tidied, written
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -39,6 +39,8 @@ ORDER_BUCKETS, SEGMENTS = 1 << 20, 16
 #: Prefix shingles to a fragment, and the least number of fragments.
 PER_FRAGMENT, LEAST_FRAGMENTS = 400_000, 32
 LONG, LEADERS = 32, 4
+#: Meetings of two sets that a task holds before it sums them up.
+MOST_MET = 1_000_000
 #: Fragments in which overlaps are counted, shingles to a counting task, nodes to a block of a cell.
 CUTS, PER_TASK, BLOCK = 4, 2_000_000, 1024
 #: Bits of the filter on candidate ids: 16 for each, and no more than these (16 MB).
@@ -122,7 +124,7 @@ def _signed(given: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     names = ["doc_id", "n", "sig", "segment", "counts"]
-    return given.mapInArrow(run, "doc_id bigint, n bigint, sig binary, segment int, counts binary")
+    return given.mapInArrow(lambda b: tidied(run(b)), "doc_id bigint, n bigint, sig binary, segment int, counts binary")
 
 
 def _summed(rows):
@@ -175,7 +177,7 @@ def _fragments(given: DataFrame, width: int, percent: int, counts, pivots: np.nd
         if held:
             yield flush()
 
-    return given.mapInArrow(run, "frag int, sigs binary, sizes binary, places binary, many binary, tokens binary")
+    return given.mapInArrow(lambda b: tidied(run(b)), "frag int, sigs binary, sizes binary, places binary, many binary, tokens binary")
 
 
 PAIR_DDL = "list bigint, h bigint, c bigint, a binary, b binary, na bigint, nb bigint, star boolean"
@@ -226,7 +228,7 @@ def _paired(percent: int):
             passed = np.minimum(na - place[i], nb - place[j]) >= -(-percent * (na + nb) // (100 + percent))
             pair = np.minimum(a, b) << 32 | np.maximum(a, b)
             met.append(np.stack([pair, np.ones(len(pair), np.int64), passed * (1 + 2 * star)], 1)[near])
-            if sum(map(len, met)) > 4_000_000:
+            if sum(map(len, met)) > MOST_MET:
                 met[:] = [packed()]
 
         i = np.flatnonzero(np.repeat((length > 1) & (length <= LONG), length))
@@ -312,7 +314,7 @@ def _node_sets(given: DataFrame, width: int, bits, counts, cuts: np.ndarray) ->
                     rows[k + 1].append(s[frag == k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["sig", *[f"f{k}" for k in range(CUTS)]])
 
-    return given.select(*spots, "text").mapInArrow(run, "sig binary, " + ", ".join(f"f{k} binary" for k in range(CUTS)))
+    return given.select(*spots, "text").mapInArrow(lambda b: tidied(run(b)), "sig binary, " + ", ".join(f"f{k} binary" for k in range(CUTS)))
 
 
 def _partial(sets, pairs):

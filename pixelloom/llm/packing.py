@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 WINDOW, OPEN = 1024, 16
 #: Partitions whose leftovers meet in one group: at most MERGED * OPEN windows.
@@ -40,7 +40,6 @@ def tokenizer(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    whole = Tokenizer.from_file(path)
     special = [t["content"] for t in spec["added_tokens"]]
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in printable]
@@ -50,9 +49,11 @@ def tokenizer(path: str):
 
     fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    whole = cache(lambda: Tokenizer.from_file(path))  # rarely needed, and large
+
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
     return ids
@@ -163,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, open_windows: int = OPEN, keep_id
             packer.emit(pieces, part // MERGED)
         yield packer.batch()
 
-    first = written(given.mapInArrow(run, DDL), "packed")
+    first = written(given.mapInArrow(lambda b: tidied(run(b)), DDL), "packed")
 
     def merge(key, rows):
         rows = rows.sort_by("at")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbatch as tb
-from .common import table
+from .common import table, tidied
 
 MIN_WORDS, REPEAT_WIDTH, REPEAT_PERCENT = 20, 8, 30
 #: From so many code points, and words, on the histograms count.
@@ -42,7 +42,7 @@ COMMON_WORDS = {
 }
 LANGS = tuple(CHAR_SHARES)
 
-_CLASS = np.full(256, 5, np.int64)
+_CLASS = np.full(256, 5, np.uint8)
 _CLASS[[*range(0x61, 0x7B)]], _CLASS[[*range(0x41, 0x5B)]], _CLASS[[*range(0x30, 0x3A)]] = 0, 1, 2
 _CLASS[tb.BLANK] = 3
 _CLASS[[*b".,;:!?'\"()-"]] = 4
@@ -119,7 +119,8 @@ def measures(data: np.ndarray, offsets: np.ndarray, langs: list) -> dict[str, np
     steps[hit + REPEAT_WIDTH] -= 1
     out["n_repeat_words"] = np.bincount(row[np.cumsum(steps[:-1]) > 0], minlength=n)
 
-    classes = np.stack([tb.per_text(_CLASS[data] == k, offsets) for k in range(7)], 1)
+    kinds = _CLASS[data]
+    classes = np.stack([tb.per_text(kinds == k, offsets) for k in range(7)], 1)
     char_refs, word_refs, known, number = _references()
     place = np.minimum(np.searchsorted(known, h), len(known) - 1)
     is_known = known[place] == h
@@ -178,7 +179,7 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", car
 
     given = docs.select(*own, docs[text_col].alias("__pl_text"), (F.lit(None).cast("string") if lang is None else lang).alias("__pl_lang"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name in own]
-    return given.mapInArrow(lambda b: _pass(b, False), ", ".join(kinds + [f"{k} {_SQL[t]}" for k, t in COLUMNS.items()]))
+    return given.mapInArrow(lambda b: tidied(_pass(b, False)), ", ".join(kinds + [f"{k} {_SQL[t]}" for k, t in COLUMNS.items()]))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -187,7 +188,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     given = docs.withColumns({"__pl_text": docs[text_col], "__pl_lang": lang})
-    return given.mapInArrow(lambda b: _pass(b, True), docs.schema)
+    return given.mapInArrow(lambda b: tidied(_pass(b, True)), docs.schema)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

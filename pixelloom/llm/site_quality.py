@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import table
+from .common import table, tidied
 from .quality import measures
 
 #: The most labelled rows that the document model is fitted on; they are those with the least hash of the id.
@@ -62,7 +62,7 @@ def _scored(given: DataFrame, names: list[str], ddl: str, score) -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], score(x)], [*batch.schema.names[:k], "value"])
 
-    return given.mapInArrow(run, ddl)
+    return given.mapInArrow(lambda b: tidied(run(b)), ddl)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Vectorised views of a batch of texts: packed UTF-8 bytes, words, lines and their 64-bit hashes.
 
-Texts of an Arrow batch are taken in runs of about a megabyte, so memory follows the longest text and not the
+Texts of an Arrow batch are taken in runs of about half a megabyte, so memory follows the longest text and not the
 batch. A hash of a slice comes from prefix sums of random byte values times powers of an odd base; a finaliser
 mixes it with the slice's length.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BLANK = np.zeros(256, bool)
