@@ -71,16 +71,16 @@ CONTEXT = {
 
 
 def _spans(kind: str, text: str):
-    """array<struct<start, stop, rank, kind, score>> of the confirmed matches of a kind."""
+    """array<struct<start, rank, stop, kind, score>> of the confirmed matches of a kind."""
     pattern = PATTERNS[kind].replace("\\", "\\\\")
     test = TESTS[kind].format(dgt=_DIGITS, luhn=_LUHN, mod97=_MOD97)
     a, b, c = SCORES[kind]
     near = f"lower(substring({text}, greatest(1, z.at + 1 - {WINDOW}), least(z.at, {WINDOW}))) rlike '({CONTEXT[kind]})'"
     span = (
-        f"named_struct('start', cast(z.at as bigint), 'stop', cast(z.at + char_length(z.m) as bigint), 'rank', {KINDS.index(kind)}, 'kind', '{kind}', "
+        f"named_struct('start', cast(z.at as bigint), 'rank', {KINDS.index(kind)}, 'stop', cast(z.at + char_length(z.m) as bigint), 'kind', '{kind}', "
         f"'score', cast({a + b} + if({near}, {c}, 0.0) as double))"
     )
-    none = "cast(array() as array<struct<start: bigint, stop: bigint, rank: int, kind: string, score: double>>)"
+    none = "cast(array() as array<struct<start: bigint, rank: int, stop: bigint, kind: string, score: double>>)"
     # the fold's state: code points so far, and the spans; a lambda over one element binds a match and its place
     one = f"transform(array(named_struct('m', found[i], 'at', s.at + char_length(gaps[i]))), z -> if({test}, {span}, null))"
     fold = (
@@ -98,7 +98,7 @@ def _joined(spans: str) -> str:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``pii``: array of (start, stop, rank, kind, score), by start and then kind, offsets in code points.
+    """docs with ``pii``: array of (start, rank, stop, kind, score), by start and then kind, offsets in code points.
 
     Within a kind spans are leftmost and do not overlap; different kinds may. A null or empty text has none, and
     a text is searched whole, however long. Repeated rows have the same spans. A column ``pii`` of the input is
