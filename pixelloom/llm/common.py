@@ -39,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df behind a reliable checkpoint, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows of df as a table in the shared folder, which outlives executors: a cut of lineage.
+
+    A written table has its true size. A checkpoint keeps the planner's estimate, and over the rounds of a loop of joins
+    the product of estimates grows beyond use.
+    """
+    return written(df, "cut")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -57,7 +60,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """df as a compressed table in the shared folder: a lineage cut for what is too wide for a checkpoint."""
+    """df as a compressed table in the shared folder, optionally in parts by columns. Job folders there can go with the job."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
