@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import catalog_sql as S
 from .functions import codec
+from .functions.shipping import ship
 from .operators import aggregate, geometry, mask, planner, point, rasterize, regions, window
 from .plans import compiler, presets
 from .plans.ops import op, plan
@@ -255,7 +256,15 @@ def _workflow_search(spark, d: str) -> DataFrame:
 def queries():
     if not FOUND:
         _register()
-    return {k: v[0] for k, v in FOUND.items()}
+    return {k: _with_code(v[0]) for k, v in FOUND.items()}
+
+
+def _with_code(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql():
