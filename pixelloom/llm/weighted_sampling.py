@@ -70,21 +70,22 @@ def _draws(j: int) -> dict[str, str]:
     }
 
 
-def _candidate(j: int, weight: str) -> str:
-    """ln a of sample j in fixed point above 32 bits of (term, t)."""
-    t = f"floor(ln({weight}) / r{j} + b{j})"
+def _candidate(j: int, log_weight: str) -> str:
+    """ln a of sample j in fixed point above 32 bits of (term, t); null for a term that the text lacks."""
+    t = f"floor({log_weight} / r{j} + b{j})"
     value = f"cast(greatest(0D, least({2.0**31 - 1}D, (c{j} - r{j} * ({t} - b{j} + 1) + {OFFSET}D) * {2.0**SHIFT}D)) as bigint)"
-    return f"if({weight} > 0, shiftleft({value}, 32) | (xxhash64(hg, {t}) & 4294967295L), null)"
+    return f"if({log_weight} is not null, shiftleft({value}, 32) | (xxhash64(hg, {t}) & 4294967295L), null)"
 
 
 def _samples(words: DataFrame, *keys: str) -> DataFrame:
     """keys and the sample arrays s0 and s1 for rows (keys, h, w0, w1): a term's hash and its two weights."""
     groups = SAMPLES // GROUP
+    words = words.select(*keys, "h", F.expr("ln(w0)").alias("l0"), F.expr("ln(w1)").alias("l1"))  # of 0: null
     rows = words.withColumn("g", F.explode(F.array(*[F.lit(k) for k in range(groups)])))
     rows = rows.withColumn("hg", F.expr("xxhash64(h, g)"))
     rows = rows.withColumns({k: F.expr(e) for j in range(GROUP) for k, e in _draws(j).items()})
-    rows = rows.withColumns({f"k{j}": F.expr(_candidate(j, "w0")) for j in range(GROUP)})
-    rows = rows.withColumns({f"m{j}": F.expr(f"if(w0 = w1, k{j}, {_candidate(j, 'w1')})") for j in range(GROUP)})
+    rows = rows.withColumns({f"k{j}": F.expr(_candidate(j, "l0")) for j in range(GROUP)})
+    rows = rows.withColumns({f"m{j}": F.expr(f"if(l0 <=> l1, k{j}, {_candidate(j, 'l1')})") for j in range(GROUP)})
     least = rows.groupBy(*keys, "g").agg(*[F.min(f"{v}{j}").alias(f"{v}{j}") for v in "km" for j in range(GROUP)])
     of = lambda v: ", ".join(f"coalesce({v}{j} & 4294967295L, -1L)" for j in range(GROUP))
     listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", F.expr(f"array({of('k')})").alias("k"), F.expr(f"array({of('m')})").alias("m")))).alias("all"))
