@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import catalog_sql as S
 from .functions import codec
 from .functions.shipping import ship
-from .operators import aggregate, geometry, mask, planner, point, rasterize, regions, window
+from .operators import aggregate, geometry, mask, overlay, planner, point, rasterize, regions, window
 from .plans import compiler, presets
 from .plans.ops import op, plan
 from .sources.rasters import HEIGHT as H
@@ -162,6 +162,10 @@ def _register() -> None:
     _mk("fill_holes", regions.fill_holes, S.fill_holes())
     _mk("remove_islands", lambda m: regions.remove_islands(m, 6), S.remove_islands(6))
 
+    for mode in overlay.MODES:
+        _add(f"overlay_{mode}", lambda s, d, v=mode: overlay.overlay(embedding_masks(s, d), W, H, 30, 40, v, (200, 30, 90), 0.6, 3), S.overlay(30, 40, mode, (200, 30, 90), 0.6, 3))
+    _add("brush_pressure", _pressure, S.PRESSURE)
+
     # plans, time and names
     _add("plan_rules", _plan_rules, _plan_sql())
     _add("plan_validate", lambda s, d: planner.check_plans(_plan_rules(s, d)).groupBy("status", "valid").agg(F.count("*").alias("n")))
@@ -228,6 +232,11 @@ st as (select f.request_id, f.image_id, case when trim(f.text) = '' then 'invali
 select request_id, image_id, status, case when status = 'ok' then operations end as operations, case when status = 'ok' then round(least(0.92e0, 0.52e0 + least(m, 4) * 0.09e0), 4) end as confidence from st"""
 
 
+def _pressure(spark, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return overlay.pressed(e.select("event_id", F.expr("case when event_type in ('click', 'view') then 'pen' else 'mouse' end").alias("pointer"), (F.col("value") / 100).alias("pressure")), 48.0, 0.9).select("event_id", "diameter", "opacity")
+
+
 def _reconcile(spark, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 

@@ -571,3 +571,22 @@ select idx, path, target, case when there or claim > 1 then 'skipped' else 'run'
 
 SEARCH = """select p_partkey as id, p_name as name, p_type as description, p_brand as folder, p_size > 40 as favorite from part
 where contains(lower(p_name), 'an') or contains(lower(p_type), 'an') or contains(lower(p_brand), 'an')"""
+
+
+def overlay(w, h, mode, color, opacity, frame):
+    near = lambda e: f"cast(floor({e} + 0.5e0) as integer)"
+    o = f"{float(opacity)!r}e0"
+    edge = "(coalesce(l.cov >= 128, false) != (m.cov >= 128) or coalesce(r.cov >= 128, false) != (m.cov >= 128) or coalesce(u.cov >= 128, false) != (m.cov >= 128) or coalesce(d.cov >= 128, false) != (m.cov >= 128))"
+    ant = f"case when {edge} and (g.x + g.y + {frame}) % 8 < 4 then 255 else 0 end"
+    px = {
+        "marching_ants": (ant, ant, ant, f"case when {edge} then 255 else 0 end"), "color": (*map(str, color), near(f"m.cov * {o}")), "grayscale": ("m.cov", "m.cov", "m.cov", near(f"255 * {o}")),
+        "mask_only": ("m.cov", "m.cov", "m.cov", "255"), "white": ("255", "255", "255", near(f"(255 - m.cov) * {o}")), "black": ("0", "0", "0", near(f"(255 - m.cov) * {o}")),
+    }[mode]
+    join = lambda k, dx, dy: f"left join msk {k} on {k}.mask_id = m.mask_id and {k}.x = m.x + {dx} and {k}.y = m.y + {dy}"
+    return f"""{M}, g as (select cast(yy as integer) as y, cast(xx as integer) as x, least({H - 1}, cast(floor((yy + 0.5e0) * {H}e0 / {h}e0) as integer)) as sy, least({W - 1}, cast(floor((xx + 0.5e0) * {W}e0 / {w}e0) as integer)) as sx from range({h}) a(yy), range({w}) b(xx))
+select m.mask_id, g.y, g.x, {', '.join(f'cast({e} as integer) as {c}' for c, e in zip('rgba', px, strict=True))} from g join msk m on m.x = sx and m.y = sy {join('l', -1, 0)} {join('r', 1, 0)} {join('u', 0, -1)} {join('d', 0, 1)}"""
+
+
+PRESSURE = """with p as (select event_id, event_type in ('click', 'view') and value is not null as pen, greatest(0e0, least(1e0, value / 100)) as p from events)
+select event_id, case when pen then floor(greatest(1e0, least(512e0, 48e0 * (0.35e0 + (1e0 - 0.35e0) * p))) * 1000000e0 + 0.5e0) / 1000000e0 else 48e0 end as diameter,
+ case when pen then floor(greatest(0.01e0, least(1e0, 0.9e0 * (0.25e0 + (1e0 - 0.25e0) * p))) * 1000000e0 + 0.5e0) / 1000000e0 else 0.9e0 end as opacity from p"""

@@ -75,3 +75,11 @@ def test_edits_and_history():
         h.commit(q)
     assert [h.undo(), h.undo(), h.undo()] == [plan(b), plan(a), plan(a)] and h.redo() == plan(b)
     assert isinstance(a, Op)
+
+
+def test_crop_ratios():
+    from pixelloom.operators.overlay import crop_of_ratio
+
+    assert crop_of_ratio(16, 9, "square") == ((1 - 9 / 16) / 2, 0.0, 9 / 16, 1.0)
+    assert crop_of_ratio(9, 16, "square") == (0.0, (1 - 9 / 16) / 2, 1.0, 9 / 16)
+    assert crop_of_ratio(5, 4, "original") == (0.0, 0.0, 1.0, 1.0)
