@@ -46,6 +46,7 @@ CUTS, PER_TASK, BLOCK = 4, 2_000_000, 1024
 #: Bits of the filter on candidate ids: 16 for each, and no more than these (16 MB).
 MOST_BITS = 1 << 27
 SALTS = 16
+NO_SHINGLES = np.zeros(0, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -66,13 +67,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
             whole, _ = tb.windows(few, np.zeros(len(few), np.int64), len(few))
             out.append(tb.mixed(whole + np.uint64(len(few))))
         else:
-            out.append(few_none)
+            out.append(NO_SHINGLES)
     return out
 
 
-few_none = np.zeros(0, np.uint64)
-
-
 def signature(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
@@ -373,7 +371,7 @@ def _cell_links(percent: int):
         for k in range(CUTS):
             s = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(f"f{k}")]
             one, two = [s[i] for i in left], [s[i] for i in right]
-            shared = np.intersect1d(np.concatenate([*one, few_none]), np.concatenate([*two, few_none]))
+            shared = np.intersect1d(np.concatenate([*one, NO_SHINGLES]), np.concatenate([*two, NO_SHINGLES]))
             for c in range(0, len(shared), 4096):
                 columns = shared[c : c + 4096]
                 overlap += _incidence(one, columns) @ _incidence(two, columns).T
