@@ -384,6 +384,21 @@ def test_quality_keeps_good_documents(spark):
     assert sum(not r.kept for r in kept if r.quality == 0) >= sum(r.quality == 0 for r in kept) * 0.7
 
 
+@pytest.mark.parametrize("lang", [*quality.LANGS, None])
+@pytest.mark.parametrize("n", [40, 200, 2000, 50000])
+def test_quality_misses_common_words(lang, n):
+    rnd = random.Random(n)
+    letters = "abcdefghilmnoprstuv" * 2 + "é" * (lang != "en")
+    odd = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 8))) + ("." if k % 9 == 0 else "") for k in range(n)]
+    odd = [w.capitalize() if k % (4 if lang == "de" else 20) == 0 else w for k, w in enumerate(odd)]
+    words = quality.COMMON_WORDS[lang or "fr"].split()[::2]
+    prose = [rnd.choice(words) if k % 4 == 1 else w for k, w in enumerate(odd)]
+    raw = [" ".join(x).encode() for x in (odd, prose)]
+    out = quality.measures(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), [lang] * 2)
+    assert not out["base_failed"].any() and (out["js_chars"] < quality.MOST_CHARS).all() and out["diverges"].tolist() == [True, False]
+    assert quality.missing_distance(np.array([0]), np.array([0]), 0.3).tolist() == [0.0]
+
+
 # 10
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
