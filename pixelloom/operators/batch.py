@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import written
+
 #: File name endings and JPEG qualities of the export profiles; fixed values.
 EXTENSIONS = {"web": "jpg", "print": "jpg", "high_jpeg": "jpg", "maximum_compression": "webp", "archive": "png", "lossless": "png"}
 JPEG_QUALITY = {"web": 82, "print": 95, "high_jpeg": 95}
-MOST_FILES, MOST_NAME = 10_000, 180
+MOST_NAME = 180
 
 
 def jpeg_quality(profile: str) -> int:
@@ -34,12 +36,19 @@ def output_name(name: str, index: str, template: str, extension: str, workflow:
 def planned(files: DataFrame, existing: DataFrame, template: str, profile: str, workflow: str) -> DataFrame:
     """(idx, path, target, status) of files (path): numbered by lower-cased path; run, skipped, or failed for no name.
 
-    A target that exists, or that a file before claims, is skipped. existing: (target). Numbers come from one sorted
-    pass over at most MOST_FILES names.
+    A target that exists, or that a file before claims, is skipped. existing: (target). All files are numbered, however
+    many: those of each range of names by themselves, from the count of files in the ranges before. The ranges are
+    written first, as another run might draw them elsewhere.
     """
     ext = EXTENSIONS[profile]
-    order = Window.orderBy(F.lower("path"), "path")
-    q = files.select("path").distinct().withColumn("idx", F.row_number().over(order) - 1).filter(F.col("idx") < MOST_FILES)
+    dealt = files.select("path").distinct().repartitionByRange(F.lower("path"), "path").withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "files")
+    before, total = {}, 0
+    for k, n in sorted(tuple(r) for r in dealt.groupBy("_range").count().collect()):
+        before[k], total = total, total + n
+    start = F.lit([before.get(k, 0) for k in range(max(before, default=0) + 1)])[F.col("_range")]
+    order = Window.partitionBy("_range").orderBy(F.lower("path"), "path")
+    q = dealt.withColumn("idx", (start + F.row_number().over(order) - 1).cast("int")).drop("_range")
     q = q.withColumn("_base", F.expr(output_name("element_at(split(path, '/'), -1)", "idx", template, ext, workflow)))
     q = q.withColumn("target", F.expr(f"case when _base = '' then null else concat(regexp_replace(_base, '[.][^.]*$', ''), '.{ext}') end")).drop("_base")
     q = q.join(existing.select("target").distinct().withColumn("_there", F.lit(True)), "target", "left")

@@ -217,6 +217,18 @@ def test_png_round_trip(spark, tmp_path):
     assert log["one.png"].status == "ok" and log["broken.png"].status == "failed" and log["one.png"].target == "one-0002.png"
 
 
+def test_all_files_are_planned(spark):
+    from pixelloom.operators import batch
+
+    names = [f"/in/{'Ab'[k % 2]}{k}.png" for k in range(10_050)]
+    got = batch.planned(spark.createDataFrame([(n,) for n in names + names[:5]], "path string").repartition(7), spark.createDataFrame([("b1.png",)], "target string"), "{name}", "lossless", "w").collect()
+    order = sorted(names, key=lambda n: (n.lower(), n))
+    assert sorted((r.idx, r.path) for r in got) == list(enumerate(order))
+    assert [r.path for r in got if r.status != "run"] == ["/in/b1.png"]
+    none = spark.createDataFrame([], "path string")
+    assert batch.planned(none, none.toDF("target"), "{name}", "lossless", "w").count() == 0
+
+
 def test_workflows(spark):
     import json
 
