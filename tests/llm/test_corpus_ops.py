@@ -237,6 +237,17 @@ def test_pii(spark):
     assert pii.find_pii(no_rows(df)).count() == 0
 
 
+def test_pii_iban_with_text_behind(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = {
+        f"IBAN {de} Please pay": [de], f"IBAN {de} BIC COBADEFF": [de], f"IBAN {de} 2024 x": [de], f"é account {gb} A1 9 B": [gb], f"bank {no} 7": [no],
+        f"iban {de} {gb} {no} END": [de, gb, no], f"iban {de}.": [de], f"iban AB12 3456 7890 1234 {de} OK": [de], f"iban {de[:-1]}1 Please": [],
+        f"iban {de}X": [], f"iban X{de}": [], f"iban {de}\nPLEASE": [de], "iban QQ50 0000 0000 0000 001 x": ["QQ50 0000 0000 0000 001"],
+    }
+    for r in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert [r.text[s.start : s.stop] for s in r.pii if s.kind == "iban"] == texts[r.text], r.text
+
+
 # 6
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 65, 1000])
 def test_feistel_is_a_permutation(spark, n):
