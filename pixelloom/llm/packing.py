@@ -1,8 +1,8 @@
 """Bounded-space online packing of token sequences.
 
 Each partition keeps a fixed number of open windows. A document's whole windows leave at once; what remains goes
-best-fit, into the open window with the least room that takes it. Where none does, the fullest is filled up with
-the head of the piece and emitted. Windows still open at a partition's end are leftovers: they carry their ids, meet
+best-fit, into the open window with the least room that takes it. Where none does, the fullest is emitted; documents may
+be cut freely, so it takes the head of the piece along instead of padding (a departure from plain best fit). Windows still open at a partition's end are leftovers: they carry their ids, meet
 in groups of partitions, and are merged into full windows. A group's last, partly filled one is cut into powers of
 two, which need no padding. Memory follows one batch of texts and OPEN windows.
 """
@@ -31,7 +31,7 @@ def tokenizer(path: str):
     """A function from text to uint32 ids, as the tokenizers library gives them for the file without special tokens.
 
     Its merges run on the file's own vocabulary in the faster tiktoken core; a text that contains one of the file's
-    special tokens goes through tokenizers itself.
+    special tokens, or one that the core refuses (very long runs of blanks), goes through tokenizers itself.
     """
     import json
 
@@ -52,9 +52,12 @@ def tokenizer(path: str):
     whole = cache(lambda: Tokenizer.from_file(path))  # rarely needed, and large
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            except ValueError:  # its regular expressions give up within runs of about a million blanks
+                pass
+        return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 
@@ -145,7 +148,8 @@ def pack(docs: DataFrame, tokenizer_path: str, open_windows: int = OPEN, keep_id
     A document is its ids and then id 0; a null or empty text is id 0 alone. Every id lies in exactly one piece, and
     the pieces of a sequence cover it from offset 0 without gaps; sequences hold 1024 ids or a lesser power of two.
     ``ids`` holds a piece's ids as little-endian 32-bit numbers, or null without ``keep_ids``. Repeated rows are packed
-    once each, rows without an id with a null one. Other columns are not looked at; an empty table gives no rows.
+    once each, rows without an id with a null one. Texts of any length are encoded whole. Other columns, whatever their
+    names, are not looked at; an empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
