@@ -2,14 +2,15 @@
 
 The reader walks an archive from record to record. When a check fails (gzip member, version line, headers, length,
 record end or digest) it searches for the next byte at which a gzip member or a version line begins and parses, goes
-on there, and logs the bytes in between as a quarantined gap. Files are read in blocks, so memory follows the largest
-record and not the archive.
+on there, and logs the bytes in between as a quarantined gap. A member may hold several records; its content is walked in
+the same way. Files are read in blocks, so memory follows the largest member or record and not the archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table
 
 #: An archive is closed when it has grown beyond this many bytes.
-ROLL_BYTES = 16 << 20
+ROLL_BYTES = 64 << 20
+#: Archives that a reading task takes one after the other, where there are more than cores.
+PER_TASK = 4
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 BLOCK = 1 << 18
-#: The longest header block, and the longest record that is taken for sound.
-MOST_HEADER, MOST_RECORD = 1 << 16, 1 << 28
+#: Headers are looked at in steps from this many bytes on, and checked line by line as far as they have come.
+HEADER_STEP = 1 << 16
+#: A value of a table's cell has less than 2 GiB, so no headers or block of a page are longer; what claims to be is damaged.
+MOST_HEADER = MOST_RECORD = 1 << 31
 #: Parts that the rows of one payload are dealt to when they meet the page that holds it.
 SALTS = 16
 
@@ -80,11 +85,11 @@ class Source:
         del self.held[: max(0, at - self.base)]
         self.base = max(self.base, at)
 
-    def find_next(self, at: int) -> int | None:
+    def find_next(self, at: int, members: bool) -> int | None:
         """The next place from at on where a member or a version line may begin."""
         while True:
             piece = self.get(at, BLOCK + 16)
-            hits = [k for k in (piece.find(MAGIC), piece.find(VERSION)) if k >= 0]
+            hits = [k for k in (piece.find(MAGIC) if members else -1, piece.find(VERSION)) if k >= 0]
             if hits:
                 return at + min(hits)
             if len(piece) < BLOCK + 16:
@@ -111,20 +116,25 @@ def _inflated(src: Source, at: int) -> tuple[bytes, int]:
     return b"".join(out), used - len(d.unused_data)
 
 
-def _parsed(get, length: int | None) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that get(at, n) gives from 0 on; length: of all there is, if known."""
-    head = get(0, MOST_HEADER)
-    if not head.startswith(VERSION):
-        raise Damaged("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("headers do not end")
-    headers = {}
-    for line in head[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
-            raise Damaged("header line without a name")
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+def _parsed(get) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and length of the record that get(at, n) gives from 0 on."""
+    size = HEADER_STEP
+    while True:
+        head = get(0, size)
+        if not head.startswith(VERSION):
+            raise Damaged("no version line")
+        end = head.find(b"\r\n\r\n")
+        headers = {}
+        for line in head[: end if end >= 0 else max(0, head.rfind(b"\r\n"))].split(b"\r\n")[1:]:
+            name, colon, value = line.partition(b":")
+            if not colon or not name.strip():
+                raise Damaged("header line without a name")
+            headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if end >= 0:
+            break
+        if len(head) < size or size >= MOST_HEADER:
+            raise Damaged("headers do not end")
+        size *= 8
     n = headers.get("content-length", "")
     if not n.isascii() or not n.isdigit() or int(n) > MOST_RECORD:
         raise Damaged("no valid length")
@@ -133,43 +143,66 @@ def _parsed(get, length: int | None) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("block is cut off")
     if get(end + 4 + int(n), 4) != b"\r\n\r\n":
         raise Damaged("record does not end where it should")
-    total = end + 8 + int(n)
-    if length is not None and total != length:
-        raise Damaged("member has more than a record")
     if headers.get("warc-block-digest", "").startswith("sha1:") and headers["warc-block-digest"][5:] != payload_digest(block):
         raise Damaged("block digest differs")
-    return headers, block, total
+    if headers.get("warc-type") != "revisit":  # a revisit's digest and length are those of the payload it leaves out
+        payload = payload_of(headers, block)
+        if headers.get("warc-payload-digest", "").startswith("sha1:") and headers["warc-payload-digest"][5:] != payload_digest(payload):
+            raise Damaged("payload digest differs")
+        if headers.get("x-payload-length", str(len(payload))) != str(len(payload)):
+            raise Damaged("payload length differs")
+    return headers, block, end + 8 + int(n)
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """What a block holds behind its HTTP head, if it has one."""
+    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
 def salvage(file) -> Iterator[tuple]:
     """("record", offset, length, headers, block) and ("gap", offset, length, reason, b"") of an archive, in its order.
 
-    Together they cover all bytes of the file. An empty file gives nothing.
+    Together they cover all bytes of the file. Of a member with several records the first row has the member's length, the
+    others 0; a damaged stretch between them is a gap of its own. An empty file gives nothing.
     """
-    src, at, gap, reason = Source(file), 0, None, ""
+    yield from _walk(Source(file), True)
+
+
+def _member(content: bytes, at: int, size: int) -> Iterator[tuple]:
+    """The records and gaps of a member's content, at the member's place in the file."""
+    for kind, _, _, what, block in list(_walk(Source(io.BytesIO(content)), False)):
+        yield kind, at, size, what, block
+        size = 0
+
+
+def _walk(src: Source, members: bool) -> Iterator[tuple]:
+    at, gap, reason = 0, None, ""
     while True:
         start = src.get(at, len(VERSION))
         if not start:
             break
         try:
-            if start.startswith(MAGIC):
+            if members and start.startswith(MAGIC):
                 content, size = _inflated(src, at)
-                headers, block, _ = _parsed(lambda p, n, c=content: c[p : p + n], len(content))
+                found = [*_member(content, at, size)]
+                if not any(x[0] == "record" for x in found):
+                    raise Damaged(found[0][3] if found else "empty member")
             elif start == VERSION:
-                headers, block, size = _parsed(lambda p, n, a=at: src.get(a + p, n), None)
+                headers, block, size = _parsed(lambda p, n, a=at: src.get(a + p, n))
+                found = [("record", at, size, headers, block)]
             else:
                 raise Damaged("neither a member nor a version line")
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = src.find_next(at + 1)
+            at = src.find_next(at + 1, members)
             if at is None:
                 break
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason, b""
             gap = None
-        yield "record", at, size, headers, block
+        yield from found
         at += size
         src.forget(at)
     if gap is not None:
@@ -204,8 +237,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
 
     A task writes its archives under names of its own attempt; only those whose tasks succeeded are in the returned
     table, so what lost or repeated attempts leave is never read. The table is computed once, by this call. A null
-    html is an empty payload; repeated rows make a record each (all of them responses, if theirs is the largest
-    page_id); a null page_id is never a holder.
+    html is an empty payload, a null url an empty one; runs of blanks in urls become one. Urls and payloads may have any
+    length that a table's cell can. Repeated rows make a record each (all of them responses, if theirs is the largest
+    page_id); a null page_id is never a holder. Other columns are not looked at; an empty table makes no archive.
     """
 
     def run(batches):
@@ -240,10 +274,11 @@ RECORD_DDL = "archive string, offset bigint, length bigint, reason string, warc_
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives named in column ``archive``, one archive to a task at a time.
+    """Records and gaps of the archives named in column ``archive``, one at a time, PER_TASK to a task or fewer.
 
     A row is a record (reason null) or a quarantined gap (reason says which check failed first, record columns are
-    null). offset and length are in bytes of the file.
+    null). offset and length are in bytes of the file. An empty list of archives, or an empty archive, gives no rows; other
+    columns of ``archives`` are not looked at, and an archive named twice is read twice.
     """
 
     def run(batches):
@@ -256,7 +291,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                         if kind == "gap":
                             rows.append((name, at, size, what, *[None] * 7))
                         else:
-                            payload = block.partition(b"\r\n\r\n")[2] if what.get("content-type", "").startswith("application/http") else block
+                            payload = payload_of(what, block)
                             said = what.get("x-payload-length", "")
                             n = int(said) if said.isascii() and said.isdigit() else len(payload)
                             digest = what.get("warc-payload-digest", "").removeprefix("sha1:") or payload_digest(payload)
@@ -267,8 +302,8 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                             rows, held = [], 0
                 yield _records(rows)
 
-    n = max(1, archives.count())
-    return archives.select("archive").repartition(n).mapInArrow(run, RECORD_DDL)
+    n, cores = archives.count(), archives.sparkSession.sparkContext.defaultParallelism
+    return archives.select("archive").repartition(max(1, min(n, max(2 * cores, -(-n // PER_TASK))))).mapInArrow(run, RECORD_DDL)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -278,10 +313,11 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op1_warc_salvage(spark, sf_dir: str) -> DataFrame:
-    """The contract: every page written to archives in the shared folder, and read back."""
+    """The contract: every page written to archives in the shared folder, and read back. A gap there is an error."""
     folder = fresh_path(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    records = read_archives(archives, folder, with_payload=False).filter("reason is null")
+    sound = "if(reason is null, true, cast(raise_error(concat('gap in ', archive, ' at ', offset, ': ', reason)) as boolean))"
+    records = read_archives(archives, folder, with_payload=False).filter(sound)
     page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("bigint")
     return records.select(
         page("record_id").alias("page_id"),
