@@ -1,6 +1,6 @@
 """Reproducible shuffle and sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered from 0 to N-1 by content alone (hash bucket of the id, then id, size and checksum), so the
+Rows are numbered from 0 to N-1 by content alone (hash bucket of id, size and checksum, then these), so the
 numbering does not depend on files, partitions or executors. A mixed-radix Feistel network over [0, a*b), where
 a*b is the smallest near-square product >= N, permutes the numbers; a value beyond N-1 is sent through the
 network again until it lands inside (cycle walking). Position p goes to shard ``p % shards`` and slot
@@ -56,12 +56,12 @@ def permuted(number: str, n: int, seed: int = 0) -> str:
 def row_numbers(df: DataFrame, id_col: str, *ties: str) -> tuple[DataFrame, int]:
     """df with ``row_number`` 0..N-1, and N.
 
-    The number follows from content: bucket of the id's hash, then id (nulls first), then ``ties``. Fully equal
-    rows take consecutive numbers. The driver gathers one count per bucket, at most MOST_BUCKETS of them.
+    The number follows from content: bucket of the hash of id and ``ties``, then id (nulls first), then ``ties``; so rows
+    that share an id, or have none, are many buckets' work. Fully equal rows take consecutive numbers. The driver gathers one count per bucket, at most MOST_BUCKETS of them.
     """
     n = df.count()
     buckets = 1 << max(4, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)).bit_length())
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(id_col, *ties), F.lit(buckets)).cast("int"))
     counts = dict(keyed.groupBy("_bucket").count().collect())
     starts, at = [], 0
     for k in range(buckets):
