@@ -108,7 +108,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", p
     labels (doc_id, quality) has 1 for good and 0 for bad; rows with other values or without a document are left
     out, and of several labels of an id the mean counts. Null hosts and paths are groups of their own; groups without
     labels have their parent's rate. A null text is empty. Without both kinds of labels doc_score is the
-    global rate. Repeated rows are scored alike; an empty table gives an empty result.
+    global rate. Repeated rows are scored alike; of rows that share a labelled id the one with the least text is fitted on.
+    Texts of any length are used whole; other columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -120,8 +121,10 @@ def site_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", p
     known = base.select("doc_id", "host", "path").join(good, "doc_id")
 
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = base.join(F.broadcast(chosen), "doc_id").select("good", "__pl_text", "__pl_lang")  # at most FIT_ROWS ids
-    rows = _scored(sample, ["good"], "good double, value array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).limit(2 * FIT_ROWS).collect()
+    sample = base.join(F.broadcast(chosen), "doc_id")  # at most FIT_ROWS ids
+    # of rows that share an id the least text is fitted on, so there are no more rows than ids
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("__pl_text", "__pl_lang", "good")).alias("x")).select("x.good", "x.__pl_text", "x.__pl_lang")
+    rows = _scored(sample, ["good"], "good double, value array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).collect()
     y, x = np.array([r.good for r in rows]), np.array([r.value for r in rows]).reshape(len(rows), len(FEATURES))
     total = known.agg(F.avg("good"), F.count("*")).first()
     rate = float(total[0]) if total[1] else 0.5
