@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 A text's character classes and common words are held against references of its language with the Jensen-Shannon
-distance (base 2, 0 to 1), once the text is long enough for a histogram to mean something; shorter texts pass
-these tests. All other words have most of the mass in the histogram of words, so that a text without common words is
+distance (base 2, 0 to 1), once the text is long enough for a histogram to mean something; shorter texts, and texts
+in a language without a reference, pass these tests. All other words have most of the mass in the histogram of words, so that a text without common words is
 not far in it; a second distance, of the two shares common and other alone, is for those. Counting rules for tiny and repetitive texts come first. The work is one pass of numpy over Arrow
 batches without any shuffle.
 """
@@ -45,6 +45,9 @@ COMMON_WORDS = {
     "es": "de 62 la 38 que 29 el 29 en 26 y 25 a 20 los 17 se 12 del 12 las 11 un 10 por 10 con 9 no 9 una 9 su 8 para 7 es 7 al 6",
 }
 LANGS = tuple(CHAR_SHARES)
+#: A text without a language is held against the nearest reference, unless more than this share of its code points (blanks
+#: aside) is beyond ASCII: then it is in another script, for which there is none.
+MOST_FOREIGN = 0.5
 
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[[*range(0x61, 0x7B)]], _CLASS[[*range(0x41, 0x5B)]], _CLASS[[*range(0x30, 0x3A)]] = 0, 1, 2
@@ -138,9 +141,11 @@ def measures(data: np.ndarray, offsets: np.ndarray, langs: list) -> dict[str, np
     np.add.at(common, (row[is_known], number[place[is_known]]), 1)
     common[:, -1] = n_words - common.sum(1)
     out["js_chars"], out["js_words"], out["js_missing"] = np.ones(n), np.ones(n), np.ones(n)
-    lang = np.array([x if x in LANGS else None for x in langs], object)
-    for ref in LANGS:  # an unknown language is held against the nearest reference
-        mine = np.array([x is None or x == ref for x in lang], bool)
+    named = np.array([None if x is None else x.lower().replace("_", "-").partition("-")[0] for x in langs], object)
+    foreign = classes[:, 6] > MOST_FOREIGN * np.maximum(classes.sum(1) - classes[:, 3], 1)
+    out["has_reference"] = np.array([x in LANGS if x is not None else not f for x, f in zip(named, foreign, strict=True)], bool)
+    for ref in LANGS:  # without a reference of its own a text is measured by the nearest one
+        mine = np.array([x == ref or x not in LANGS for x in named], bool)
         if mine.any():
             out["js_chars"][mine] = np.minimum(out["js_chars"][mine], js_distance(classes[mine], char_refs[ref]))
             out["js_words"][mine] = np.minimum(out["js_words"][mine], js_distance(common[mine], word_refs[ref]))
@@ -150,14 +155,14 @@ def measures(data: np.ndarray, offsets: np.ndarray, langs: list) -> dict[str, np
     slack = SLACK / np.sqrt(np.maximum(n_words, 1))
     odd_chars = (classes.sum(1) >= GUARD_CHARS) & (out["js_chars"] > MOST_CHARS + slack)
     odd_words = (out["js_words"] > MOST_WORDS + slack) | (out["js_missing"] > MOST_MISSING + MISSING_SLACK / np.sqrt(np.maximum(n_words, 1)))
-    out["diverges"] = odd_chars | ((n_words >= GUARD_WORDS) & odd_words)
+    out["diverges"] = out["has_reference"] & (odd_chars | ((n_words >= GUARD_WORDS) & odd_words))
     out["kept"] = ~out["base_failed"] & ~out["diverges"]
     return out
 
 
 COLUMNS = {
     "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
-    "js_chars": pa.float64(), "js_words": pa.float64(), "js_missing": pa.float64(), "base_failed": pa.bool_(), "diverges": pa.bool_(), "kept": pa.bool_(),
+    "js_chars": pa.float64(), "js_words": pa.float64(), "js_missing": pa.float64(), "has_reference": pa.bool_(), "base_failed": pa.bool_(), "diverges": pa.bool_(), "kept": pa.bool_(),
 }
 _SQL = {pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean"}
 
@@ -181,10 +186,11 @@ def _pass(batches: Iterator[pa.RecordBatch], only_kept: bool) -> Iterator[pa.Rec
 def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (by default all) of docs with the measures and the verdict ``kept``.
 
-    Words are runs without blanks; a null text is empty and, having under MIN_WORDS words, fails. A null or unknown
-    language, or a table without that column, is held against the nearest reference. Texts below the guards pass
-    the divergence tests. Repeated rows are judged alike. Columns of docs named like a measure are replaced. An
-    empty table gives an empty result.
+    Words are runs without blanks; a null text is empty and, having under MIN_WORDS words, fails. A language is the part of
+    ``lang`` before its region, in any case. One without a reference gets no verdict (has_reference is false, the distances
+    are to the nearest reference); a null language, or a table without that column, is held against the nearest one unless
+    the text is in another script. Texts below the guards pass the divergence tests; texts of any length are used whole.
+    Repeated rows are judged alike. Columns of docs named like a measure are replaced. An empty table gives an empty result.
     """
     own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in COLUMNS]
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else None
