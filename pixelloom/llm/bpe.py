@@ -4,7 +4,8 @@ Pre-tokenisation works on arrays. Each code point becomes a symbol (kind of lett
 one table look-up, each symbol a transition function on the states of a small automaton that follows contractions
 ('s, 're, 'll ...). Functions compose associatively, so all prefixes come from a scan with doubling steps; it ends as
 soon as every prefix is a constant, which takes as many steps as the longest contraction needs. States and symbols
-then give the token starts. The slices between them go to pair merging, whose results are cached by slice.
+then give the token starts. The slices between them go to pair merging, whose results are cached by slice. Every id keeps
+the byte at which it begins; decoding puts tokens at these offsets, so that any run of ids can be decoded on its own.
 """
 
 from __future__ import annotations
@@ -139,6 +140,9 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.text = [str(k) for k in range(len(self.tokens))]
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.held, self.cache = held, {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
@@ -208,9 +212,23 @@ class Encoder:
                 found.append(ids)
             yield list(chain.from_iterable(found))
 
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[k] for k in ids])
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte of the text at which each id begins, and at last the text's length."""
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.size[ids], out=out[1:])
+        return out
+
+    def decode(self, ids, offsets=None) -> bytes:
+        """The bytes of a run of ids, each put where its offset says; offsets that do not fit the ids are an error."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        offsets = self.offsets(ids) if offsets is None else np.asarray(offsets, np.int64) - offsets[0]
+        size = self.size[ids]
+        if len(offsets) != len(ids) + 1 or (np.diff(offsets) != size).any():
+            raise ValueError("offsets do not fit the ids")
+        at = np.arange(offsets[-1]) + np.repeat(self.first[ids] - offsets[:-1], size)
+        return self.flat[at].tobytes()
 
 
 @cache
@@ -220,12 +238,13 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """docs with ``ids``, an array of int. The text can be had back from them with decode_documents().
+    """docs with ``ids``, an array of int, and ``offsets``: the byte at which each begins, and the text's length at last.
 
-    A null text counts as empty; an empty text has no ids. Texts are encoded whole. Repeated rows are encoded alike,
-    a column ``ids`` of the input is replaced, all others stay; an empty table gives an empty result.
+    The text, or any run of it, can be had back with decode_documents(). A null text counts as empty; an empty text has no
+    ids and the offset 0. Texts are encoded whole, however long. Repeated rows are encoded alike, columns ``ids`` and
+    ``offsets`` of the input are replaced, all others stay; an empty table gives an empty result.
     """
-    own = docs.drop("ids")
+    own = docs.drop("ids", "offsets")
     given = own.withColumn("__pl_text", F.col(text_col))
 
     def run(batches):
@@ -233,19 +252,26 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -
         for batch in batches:
             at = batch.schema.names.index("__pl_text")
             found = [ids for _, _, data, offs in tb.text_runs(batch.column(at)) for ids in enc.encode(data, offs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names[:at], "ids"])
+            places = [enc.offsets(np.array(ids, np.int64)) for ids in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int64()))], [*batch.schema.names[:at], "ids", "offsets"])
 
-    return given.mapInArrow(lambda b: tidied(run(b)), _ddl(own, "ids array<int>"))
+    return given.mapInArrow(lambda b: tidied(run(b)), _ddl(own, "ids array<int>", "offsets array<bigint>"))
 
 
-def decode_documents(docs: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """docs with ``decoded``, the bytes that the ids stand for (null and empty arrays: no bytes)."""
+def decode_documents(docs: DataFrame, ranks_path: str, ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """docs with ``decoded``, the bytes that the ids stand for, put where the retained offsets say.
+
+    Both may be cut down to the same run, ids i to j - 1 with offsets i to j, for that run's bytes. Null and empty arrays of ids
+    give no bytes; without offsets (a null, or no such column) ids follow each other. A column ``decoded`` is replaced.
+    """
     own = docs.drop("decoded")
 
     def run(batches):
         enc = encoder(ranks_path)
         for batch in batches:
-            found = [enc.decode(x or []) for x in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
+            ids = batch.column(batch.schema.names.index(ids_col))
+            places = batch.column(batch.schema.names.index(offsets_col)) if offsets_col in batch.schema.names else pa.nulls(len(ids))
+            found = [enc.decode(x.values.to_numpy(), p.values.to_numpy() if p.is_valid else None) if x.is_valid else b"" for x, p in zip(ids, places, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 
     return own.mapInArrow(run, _ddl(own, "decoded binary"))
@@ -271,7 +297,8 @@ def digest_documents(docs: DataFrame, ranks_path: str, carry: list[str], text_co
                 for ids in enc.encode(data, offs):
                     n.append(len(ids))
                     digest.append(hashlib.sha256(",".join([enc.text[k] for k in ids]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+                    own = np.array(ids, np.int64)
+                    decoded.append(hashlib.sha256(enc.decode(own, enc.offsets(own))).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())], [*batch.schema.names[:at], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return given.mapInArrow(lambda b: tidied(run(b)), _ddl(docs.select(*carry), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"))
