@@ -1,15 +1,25 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, redaction of personal data, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, redaction of personal data, packing.
+
+All stages but the last take a table of documents and return its columns COLUMNS: one that the table lacks is null, further
+ones are dropped. Names are matched without regard to case. Null texts count as empty, texts are used whole whatever their
+length, rows are never told apart by their id alone, and an empty table goes through all stages as one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pixelloom.llm import jaccard_join, line_dedup, packing, pii, quality
-from pixelloom.llm.common import NO_ID, ship, table, written
+from pixelloom.llm.common import ship, table, written
+
+COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _own(docs: DataFrame) -> DataFrame:
+    """The documents' columns, in their order; those that are not there are null."""
+    there = {c.lower(): c for c in docs.columns}
+    return docs.select(*[(F.col(f"`{there[c]}`") if c in there else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -18,38 +28,37 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject; those without text are among them. Equal rows fare alike."""
     ship(spark)
-    return quality.keep_good(docs.select(*COLUMNS))
+    return quality.keep_good(_own(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of three or more documents only in the largest. A document left without text stays, empty."""
-    return _counted(line_dedup.dedup_lines(docs.select(*COLUMNS)))
+    """Lines of three or more documents only in the largest id. A document left without text stays, empty; rows that share an id
+    are one document here, and so are those without any."""
+    return _counted(line_dedup.dedup_lines(_own(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, one row of it."""
+    """One document of each group of near duplicates: the row with the smallest doc_id, rows without one last.
+
+    Unlike texts all stay, also where they share an id or have none; of equal rows one stays. Texts without words are no group.
+    """
     ship(spark)
-    found = jaccard_join.near_duplicates(docs)
-    keep = found.filter("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")).distinct()
-    w = Window.partitionBy("kept_id").orderBy(F.xxhash64("text"))
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")).join(keep, "kept_id")
-    # documents without an id are not told apart by it, so all of them stay
-    return rows.withColumn("at", F.row_number().over(w)).filter(f"at = 1 or kept_id = {NO_ID}").select(*COLUMNS)
+    return jaccard_join.keep_one(_own(docs))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets."""
-    return _counted(pii.redact(docs.select(*COLUMNS)))
+    """Personal data and secrets replaced by their kind in brackets; a null text stays null."""
+    return _counted(pii.redact(_own(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their ids."""
+    """Pieces of sequences with their ids: columns of packing.pack. A null text is packed as an empty one."""
     import public_tokenizers
 
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+    return packing.pack(_own(docs), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [

@@ -3,12 +3,16 @@
 Shingles have one global order, rare ones first; the order is cut into fragments, and work on a document's shingles
 is dealt out by fragment:
 
-1. *Order.* Every task counts shingles into ORDER_BUCKETS buckets; the sums (a table of fixed size) order shingles by
-   (count of the bucket, hash). Equal sets have equal signatures and are one node from here on.
-2. *Candidates.* Two sets as alike as asked share a shingle of their prefixes. Prefixes go to their fragments, where the
-   shingles' lists give pairs that pass the length and position filters, and how many shingles each pair shares there;
-   the sum over fragments must leave a chance to reach the similarity. A list of more than LONG nodes gives only pairs with
-   its first LEADERS nodes, and is remembered.
+1. *Order.* Equal sets have equal signatures and are one node from here on. Shingles go to tasks by ranges of their hash, where
+   the nodes that hold each are counted; shingles of a single node end there, the others go back to their nodes with the
+   counts. The order is by (class of the count, hash). Shingles of about a thousandth of all nodes or more, of which there
+   are at most MOST_HOT, are known from the first reading and skip the counting, so no task gets their lists.
+2. *Candidates.* Only nodes can have a partner that share as much of their set as the similarity asks for; their shared
+   shingles are written once and texts are not read again. Two sets as alike as asked share a shingle of their prefixes.
+   Prefixes go to their fragments, where the shingles' lists give pairs that pass the length and position filters, and
+   how many shingles each pair shares there; the sum over fragments must leave a chance to reach the similarity. A list of
+   more than LONG nodes gives only pairs with its first LEADERS nodes, and is remembered; one of more than SPLIT nodes is
+   dealt to several tasks, whose leaders are held against each other.
 3. *Overlaps.* The sets of the nodes in pairs are cut at the fragments' bounds; partial overlaps are counted for each
    fragment on its own and summed per pair, and the exact test decides.
 4. *Long lists.* Their nodes are mostly connected by now. Lists that share nodes form a cell; its nodes outside the
@@ -16,17 +20,16 @@ is dealt out by fragment:
    that connect are returned. So no pair of a large group is ever listed, and no link between components is lost.
 5. Connected components, and back to documents.
 
-Texts are read three times and never shuffled; what is shuffled are prefixes (a fifth of the shingles), and the sets
-of candidate nodes, which a filter of bounded size on ids picks from the third reading.
+Texts are read twice and never shuffled. What is shuffled are the shingles, packed, once, and then those that nodes share.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +38,19 @@ from .common import cut, table, text_or_empty, tidied, written
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-ORDER_BUCKETS, SEGMENTS = 1 << 20, 16
+#: Shingles that a task packs at once, shingles to a counting task, and the least number of those.
+HELD, PER_COUNT, LEAST_TASKS = 1_000_000, 1_000_000, 32
+#: A shingle is hot in a packed run with so many nodes there, and hot at all from a share of the nodes and a number of them on.
+HOT_IN_RUN, HOT_SHARE, HOT_LEAST, MOST_HOT = 4, 1 / 1000, 1000, 1 << 20
+#: Counts up to EXACT are classes of their own, larger ones have STEPS classes to a doubling.
+EXACT, STEPS = 4096, 1024
 #: Prefix shingles to a fragment, and the least number of fragments.
 PER_FRAGMENT, LEAST_FRAGMENTS = 400_000, 32
-LONG, LEADERS = 32, 4
+LONG, LEADERS, SPLIT = 32, 4, 50_000
 #: Meetings of two sets that a task holds before it sums them up.
 MOST_MET = 1_000_000
 #: Fragments in which overlaps are counted, shingles to a counting task, nodes to a block of a cell.
-CUTS, PER_TASK, BLOCK = 4, 2_000_000, 1024
-#: Bits of the filter on candidate ids: 16 for each, and no more than these (16 MB).
-MOST_BITS = 1 << 27
+CUTS, PER_TASK, BLOCK = 4, 2_000_000, 512
 SALTS = 16
 NO_SHINGLES = np.zeros(0, np.uint64)
 
@@ -75,20 +81,46 @@ def signature(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of shingles in the global order, as 64-bit keys: count of the bucket, then the rest of the hash."""
-    c = np.minimum(counts[s & np.uint64(ORDER_BUCKETS - 1)], (1 << 20) - 1).astype(np.uint64)
-    return (c << np.uint64(44)) | (s >> np.uint64(20))
+def _classes(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts, in their order: a function of the count alone, below 2**16."""
+    large = EXACT + np.floor(STEPS * np.log2(np.maximum(counts, 1) / EXACT))
+    return np.where(counts < EXACT, counts, np.minimum(large, 65535)).astype(np.uint16)
 
 
-def _quantiles(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Keys below which the given shares of all shingles lie; within a count, hashes are even."""
-    mass = np.bincount(np.minimum(counts, (1 << 20) - 1), weights=counts)
+def _count_of(classes: np.ndarray) -> np.ndarray:
+    """About the counts of classes, not below them by more than a rounding."""
+    c = classes.astype(np.float64)
+    return np.where(c < EXACT, c, EXACT * np.exp2((np.maximum(c, EXACT) + 1 - EXACT) / STEPS))
+
+
+def _places(classes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Shingles' places in the global order, as 64-bit keys."""
+    return (classes.astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
+
+
+def _quantiles(mass: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Keys below which the given shares of a mass by class lie; within a class, hashes are even."""
     total = np.concatenate([[0], np.cumsum(mass)])
     want = np.asarray(shares) * total[-1]
     c = np.clip(np.searchsorted(total, want, "right") - 1, 0, len(mass) - 1)
     inside = np.where(mass[c] > 0, (want - total[c]) / np.maximum(mass[c], 1), 0)
-    return (c.astype(np.uint64) << np.uint64(44)) | (np.clip(inside, 0, 1 - 1e-9) * 2.0**44).astype(np.uint64)
+    return (c.astype(np.uint64) << np.uint64(48)) | (np.clip(inside, 0, 1 - 1e-9) * 2.0**48).astype(np.uint64)
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _node_of(sigs: np.ndarray) -> np.ndarray:
+    """The short number of nodes, the first 64 bits of their signatures."""
+    return sigs.view("<u8").reshape(-1, 2)[:, 0]
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -102,61 +134,96 @@ def _texts(batch: pa.RecordBatch, width: int):
 
 
 def _signed(given: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sig) of every document, and rows (segment, counts) with each task's counts."""
+    """(keys.., n, sig, node) of every document, and rows (hot, many) with the shingles that many nodes of a run hold."""
+    names = [c for c in given.columns if c != "text"] + ["n", "sig", "node", "hot", "many"]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "text") + ", n bigint, sig binary, node bigint, hot binary, many binary"
 
     def run(batches):
-        counts, seen = np.zeros(ORDER_BUCKETS, np.int32), set()
+        seen, held, size = set(), [], 0
+
+        def flush(keys):
+            tokens = np.sort(np.concatenate(held))
+            at = _edges(tokens)
+            many = np.diff(np.append(at, len(tokens))).astype(np.int32)
+            often = many >= HOT_IN_RUN
+            none = [pa.nulls(1, c.type) for c in keys] + [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array([tokens[at][often].tobytes()], pa.binary()), pa.array([many[often].tobytes()], pa.binary())], names)
+
         for batch in batches:
-            n, sigs = [], []
+            n, sigs, keys = [], [], batch.columns[:-1]
             for _, s in _texts(batch, width):
                 n.append(len(s))
                 sigs.append(signature(s))
                 if len(s) and sigs[-1] not in seen:
                     seen.add(sigs[-1])
-                    np.add.at(counts, s & np.uint64(ORDER_BUCKETS - 1), 1)
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
-        if seen:
-            none = pa.nulls(SEGMENTS)
-            parts = [p.tobytes() for p in np.split(counts, SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
+                    held.append(s)
+                    size += len(s)
+                if size >= HELD:
+                    yield flush(keys)
+                    held, size = [], 0
+            nodes = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in sigs]
+            none = pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(nodes, pa.int64()), none, none], names)
+        if held:
+            yield flush(keys)
+
+    return given.mapInArrow(lambda b: tidied(run(b)), ddl)
+
+
+def _hot_shingles(signed: DataFrame, n_nodes: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hot shingles, sorted, and their classes: a choice and an order that all tasks share. Their number is below
+    MOST_HOT at any size, as each is counted so often that no more fit into all sets together."""
+
+    def run(batches):
+        for batch in batches:
+            for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(m, np.int32).astype(np.int64))], ["token", "n"])
 
-    names = ["doc_id", "n", "sig", "segment", "counts"]
-    return given.mapInArrow(lambda b: tidied(run(b)), "doc_id bigint, n bigint, sig binary, segment int, counts binary")
+    least = max(HOT_LEAST, int(n_nodes * HOT_SHARE), -(-total // MOST_HOT))
+    sums = signed.filter("hot is not null").select("hot", "many").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = sums.filter(F.col("n") >= least).toPandas()
+    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], _classes(rows["n"].to_numpy(np.int64)[order])
 
 
-def _summed(rows):
-    total = np.zeros(ORDER_BUCKETS // SEGMENTS, np.int64)
-    for x in rows.column("counts"):
-        total += np.frombuffer(x.as_buffer(), np.int32)
-    return pa.table({"segment": rows.column("segment").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+def _grouped_rows(group: np.ndarray, owner: np.ndarray, *values: np.ndarray):
+    """(group, places of owners' first values, values of each owner, slice of values) of each group; group is sorted, and
+    owners within it."""
+    first = _edges(group, owner)
+    if not len(first):
+        return
+    many = np.diff(np.append(first, len(group))).astype(np.int32)
+    starts = np.searchsorted(first, _edges(group))
+    for a, b in zip(starts, np.append(starts[1:], len(first)), strict=True):
+        yield int(group[first[a]]), first[a:b], many[a:b], slice(first[a], first[b] if b < len(first) else len(group))
 
 
-def _fragments(given: DataFrame, width: int, percent: int, counts, pivots: np.ndarray) -> DataFrame:
-    """Prefixes by fragment, packed: signatures, sizes, first places and numbers of shingles, and the shingles."""
+def _dealt(given: DataFrame, width: int, n_tasks: int, hot) -> DataFrame:
+    """Sets by range of the hash, packed: nodes, numbers of shingles, shingles; and, with classes, each node's hot ones."""
+    names = ["part", "nodes", "many", "tokens", "classes"]
 
     def run(batches):
-        table_, seen, held, size = counts.value, set(), [], 0
+        known, classes = hot.value
+        seen, held, size = set(), [], 0
 
         def flush():
-            sigs = np.frombuffer(b"".join(h[0] for h in held), "V16")
-            doc = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-            place = np.concatenate([np.arange(h[3], h[3] + len(h[2])) for h in held]).astype(np.int32)
-            tokens = np.concatenate([h[2] for h in held])
-            sizes = np.array([h[1] for h in held], np.int32)
-            frag = np.searchsorted(pivots, tokens, "right")
-            order = np.argsort(frag, kind="stable")  # documents and places stay in order
-            frag, doc, place, tokens = frag[order], doc[order], place[order], tokens[order]
-            first = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])]))
-            many = np.diff(np.append(first, len(frag))).astype(np.int32)
-            f, d, p = frag[first], doc[first], place[first]
-            cols = [[] for _ in range(6)]
-            edges = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            for a, b in zip(edges, np.append(edges[1:], len(f)), strict=True):
-                t0, t1 = first[a], first[b] if b < len(first) else len(tokens)
-                for c, v in zip(cols, (int(f[a]), sigs[d[a:b]].tobytes(), sizes[d[a:b]].tobytes(), p[a:b].tobytes(), many[a:b].tobytes(), tokens[t0:t1].tobytes()), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], ["frag", "sigs", "sizes", "places", "many", "tokens"])
+            node = np.concatenate([np.full(len(s), n, np.uint64) for n, s in held])
+            token = np.concatenate([s for _, s in held])
+            cols = [[] for _ in names]
+            place = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
+            is_hot = known[place] == token if len(known) else np.zeros(len(token), bool)
+            for chosen in (~is_hot, is_hot):
+                n, t, p = node[chosen], token[chosen], place[chosen]
+                passing = chosen is is_hot
+                part = (((n if passing else t) >> np.uint64(32)) * np.uint64(n_tasks)) >> np.uint64(32)
+                order = np.lexsort((n, part))
+                part, n, t, p = part[order], n[order], t[order], p[order]
+                for g, at, many, sl in _grouped_rows(part, n):
+                    said = classes[p[sl]].tobytes() if passing else None
+                    for c, v in zip(cols, (g, n[at].tobytes(), many.tobytes(), t[sl].tobytes(), said), strict=True):
+                        c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(cols)], names)
 
         for batch in batches:
             for _, s in _texts(batch, width):
@@ -164,18 +231,143 @@ def _fragments(given: DataFrame, width: int, percent: int, counts, pivots: np.nd
                 if sig is None or sig in seen:
                     continue
                 seen.add(sig)
-                o = np.sort(_ordered(s, table_))[: _prefix(len(s), percent)]
-                alone = int(np.searchsorted(o, np.uint64(2) << np.uint64(44)))  # shingles of no other set come first
-                if alone < len(o):
-                    held.append((sig, len(s), o[alone:], alone))
-                    size += len(o) - alone
+                held.append((np.uint64(int.from_bytes(sig[:8], "little")), s))
+                size += len(s)
+                if size >= HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return given.select("text").mapInArrow(lambda b: tidied(run(b)), "part bigint, nodes binary, many binary, tokens binary, classes binary")
+
+
+def _joined(rows, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
+
+
+def _counted(n_homes: int):
+    """For a range of hashes: shingles of two or more nodes and their classes, packed by the home of the nodes."""
+
+    def run(rows):
+        passing = pc.is_valid(rows.column("classes"))
+        cold = rows.filter(pc.invert(passing))
+        token, node = _joined(cold, "tokens", np.uint64), np.repeat(_joined(cold, "nodes", np.uint64), _joined(cold, "many", np.int32))
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        at = _edges(token, node)  # a node met in several tasks counts once
+        token, node = token[at], node[at]
+        begins = _edges(token)
+        many = np.diff(np.append(begins, len(token)))
+        classes = np.repeat(_classes(many), many)
+        shared = np.repeat(many > 1, many)
+        warm = rows.filter(passing)
+        token = np.concatenate([token[shared], _joined(warm, "tokens", np.uint64)])
+        node = np.concatenate([node[shared], np.repeat(_joined(warm, "nodes", np.uint64), _joined(warm, "many", np.int32))])
+        classes = np.concatenate([classes[shared], _joined(warm, "classes", np.uint16)])
+        home = node.view(np.int64) % n_homes
+        order = np.lexsort((node, home))
+        home, node, token, classes = home[order], node[order], token[order], classes[order]
+        cols = [[] for _ in range(5)]
+        for g, first, n, sl in _grouped_rows(home, node):
+            for c, v in zip(cols, (g, node[first].tobytes(), n.tobytes(), token[sl].tobytes(), classes[sl].tobytes()), strict=True):
+                c.append(v)
+        return pa.table([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(cols)], ["home", "nodes", "many", "tokens", "classes"])
+
+    return run
+
+
+def _assembled(percent: int):
+    """For a home's nodes: their shared shingles in the global order, where these are enough for a partner."""
+
+    def run(nodes, rows):
+        node = np.repeat(_joined(rows, "nodes", np.uint64), _joined(rows, "many", np.int32))
+        token, classes = _joined(rows, "tokens", np.uint64), _joined(rows, "classes", np.uint16)
+        order = np.lexsort((token, _places(classes, token), node))
+        node, token, classes = node[order], token[order], classes[order]
+        at = _edges(node, token)  # hot ones come from each task that met the node
+        node, token, classes = node[at], token[at], classes[at]
+        wanted = nodes.column("node").to_numpy().view(np.uint64)
+        a, b = np.searchsorted(node, wanted), np.searchsorted(node, wanted, "right")
+        n = nodes.column("n").to_numpy()
+        keep = np.flatnonzero((b > a) & (100 * (b - a) >= percent * n))
+        cols = [[token[a[k] : b[k]].tobytes() for k in keep], [classes[a[k] : b[k]].tobytes() for k in keep]]
+        return pa.table([nodes.column("sig").take(pa.array(keep)), pa.array(n[keep]), *[pa.array(c, pa.binary()) for c in cols]], ["sig", "n", "tokens", "classes"])
+
+    return run
+
+
+def _sets(batches):
+    """(sig, n, shingles, classes) of the rows of batches with columns in that order."""
+    for batch in batches:
+        cols = [batch.column(k) for k in range(4)]
+        yield [(s.as_py(), n.as_py(), np.frombuffer(t.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint16)) for s, n, t, c in zip(*cols, strict=True)]
+
+
+def _masses(kept: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of prefixes, and of all kept sets, are in each class."""
+
+    def run(batches):
+        mass = np.zeros((2, 1 << 16), np.int64)
+        for sets in _sets(batches):
+            for _, n, t, c in sets:
+                mass[0] += np.bincount(c[: _prefix(n, percent) - (n - len(t))], minlength=1 << 16)
+                mass[1] += np.bincount(c, minlength=1 << 16)
+        at = np.flatnonzero(mass[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[0][at]), pa.array(mass[1][at])], ["class", "prefix", "whole"])
+
+    rows = kept.mapInArrow(lambda b: tidied(run(b)), "class bigint, prefix bigint, whole bigint").groupBy("class").agg(F.sum("prefix"), F.sum("whole")).collect()
+    out = np.zeros((2, 1 << 16), np.int64)  # a row for each class at most
+    for k, x, y in rows:
+        out[:, k] = x, y
+    return out[0], out[1]
+
+
+def _fragments(kept: DataFrame, percent: int, pivots: np.ndarray) -> DataFrame:
+    """Prefixes by fragment, packed: signatures, sizes, first places and numbers of shingles, and the shingles.
+
+    Shingles of more than SPLIT nodes are no fragment's; each has tasks of its own, with negative numbers, by its nodes.
+    """
+    names = ["frag", "sigs", "sizes", "places", "many", "tokens"]
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            sigs = np.frombuffer(b"".join(h[0] for h in held), "V16")
+            sizes, length = np.array([h[1] for h in held], np.int32), [len(h[3]) for h in held]
+            doc = np.repeat(np.arange(len(held)), length)
+            place = np.concatenate([np.arange(h[2], h[2] + len(h[3])) for h in held]).astype(np.int32)
+            token, classes = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+            frag = np.searchsorted(pivots, _places(classes, token), "right").astype(np.int64)
+            n_split = -(-_count_of(classes) // SPLIT)
+            salt = _node_of(sigs)[doc] % n_split.astype(np.uint64)
+            apart = -1 - (tb.mixed(token ^ tb.mixed(salt)) >> np.uint64(2)).astype(np.int64)
+            frag = np.where(n_split > 1, apart, frag)
+            # a fragment's documents, and of each document its run of places; split shingles of a document are runs of one
+            order = np.lexsort((place, doc, frag))
+            frag, doc, place, token = frag[order], doc[order], place[order], token[order]
+            cols = [[] for _ in names]
+            run_no = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])) if len(doc) else doc
+            for g, first, many, sl in _grouped_rows(frag, run_no):
+                d = doc[first]
+                for c, v in zip(cols, (g, sigs[d].tobytes(), sizes[d].tobytes(), place[first].tobytes(), many.tobytes(), token[sl].tobytes()), strict=True):
+                    c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(cols)], names)
+
+        for sets in _sets(batches):
+            for sig, n, t, c in sets:
+                alone = n - len(t)  # shingles of no other set come first in the order
+                end = _prefix(n, percent) - alone
+                held.append((sig, n, alone, t[:end], c[:end]))
+                size += end
                 if size >= PER_FRAGMENT:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return given.mapInArrow(lambda b: tidied(run(b)), "frag int, sigs binary, sizes binary, places binary, many binary, tokens binary")
+    return kept.mapInArrow(lambda b: tidied(run(b)), "frag bigint, sigs binary, sizes binary, places binary, many binary, tokens binary")
 
 
 PAIR_DDL = "list bigint, h bigint, c bigint, a binary, b binary, na bigint, nb bigint, star boolean"
@@ -184,7 +376,8 @@ PAIR_DDL = "list bigint, h bigint, c bigint, a binary, b binary, na bigint, nb b
 def _paired(percent: int):
     """For a fragment, rows of three kinds: pairs of signatures (h, c, a, b, na, nb, star) that pass the filters, with
     the number c of prefix shingles that they share here; (h, c) alone of pairs that share some but pass no filter here; and
-    nodes of long lists (list, a, na). h stands for the pair wherever it is met."""
+    nodes of long lists (list, a, na; star marks the leaders of a part of a split list). h stands for the pair wherever it
+    is met."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
     names = [x.split()[0] for x in PAIR_DDL.split(", ")]
 
@@ -229,21 +422,24 @@ def _paired(percent: int):
             if sum(map(len, met)) > MOST_MET:
                 met[:] = [packed()]
 
-        i = np.flatnonzero(np.repeat((length > 1) & (length <= LONG), length))
+        split = rows.column("frag")[0].as_py() < 0
+        long = (length > LONG) | split
+        i = np.flatnonzero(np.repeat((length > 1) & ~long, length))
         for step in range(1, LONG):
             i = i[i + step < len(token)]
             i = i[token[i + step] == token[i]]
             if not len(i):
                 break
             keep(i, i + step, 0)
-        lists = [[], [], []]
-        for b, n in zip(begins[length > LONG].tolist(), length[length > LONG].tolist(), strict=True):
-            for k in range(LEADERS):
+        lists = [[], [], [], []]
+        for b, n in zip(begins[long].tolist(), length[long].tolist(), strict=True):
+            for k in range(min(n, LEADERS)):
                 keep(np.full(n - k - 1, b + k), np.arange(b + k + 1, b + n), 1)
             who = owner[b : b + n]
             lists[0] += [int(token[b].view(np.int64))] * n
             lists[1] += [x.tobytes() for x in sig[who]]
             lists[2] += size[who].tolist()
+            lists[3] += [split and k < LEADERS for k in range(n)]
         got = packed()
         a, b = got[:, 0] >> 32, got[:, 0] & 0xFFFFFFFF
         two = sig.view(">u8").reshape(-1, 2).astype(np.uint64)
@@ -251,13 +447,13 @@ def _paired(percent: int):
         full = got[:, 2] > 0
         pairs = out(int(full.sum()), h=h[full], c=got[full, 1], a=[x.tobytes() for x in sig[a[full]]], b=[x.tobytes() for x in sig[b[full]]], na=size[a[full]], nb=size[b[full]], star=got[full, 2] > 1)
         light = out(int((~full).sum()), h=h[~full], c=got[~full, 1])
-        return pa.concat_tables([pairs, light, out(len(lists[0]), list=lists[0], a=lists[1], na=lists[2])])
+        return pa.concat_tables([pairs, light, out(len(lists[0]), list=lists[0], a=lists[1], na=lists[2], star=lists[3])])
 
     return run
 
 
 def _candidates(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of the pairs that can be alike by what their prefixes share.
+    """(a, b, na, nb) of the pairs that can be alike by what their prefixes share, and of leaders of the parts of a list.
 
     Beyond the shared prefix shingles only the larger of the two rests can add to the overlap. Pairs of a long list are not
     counted in full there; those with its leaders stay, and all others of the list are looked at again later.
@@ -266,53 +462,31 @@ def _candidates(found: DataFrame, percent: int) -> DataFrame:
     full = found.filter("b is not null").groupBy("a", "b", "h").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star"))
     rest = f"({percent} * greatest(na, nb) + 99) div 100 - 1"
     need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
-    return full.join(sums, "h").filter(f"star or c + {rest} >= {need}").select("a", "b", "na", "nb")
-
+    near = full.join(sums, "h").filter(f"star or c + {rest} >= {need}").select("a", "b", "na", "nb")
+    heads = found.filter("list is not null and star").select("list", "a", "na")
+    if heads.isEmpty():
+        return near
+    # the leaders of a list's parts against its first ones: a row for each, not for each pair of them
+    first = heads.groupBy("list").agg(F.slice(F.array_sort(F.collect_set(F.struct("a", "na"))), 1, LEADERS).alias("first"))
+    across = heads.join(first, "list").select(F.explode("first").alias("x"), "a", "na").filter(f"a != x.a and 100 * least(na, x.na) >= {percent} * greatest(na, x.na)")
+    across = across.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b"), F.expr("if(a < x.a, na, x.na)").alias("na"), F.expr("if(a < x.a, x.na, na)").alias("nb"))
+    return near.unionByName(across).distinct()
 
-def _filter_bits(ids: DataFrame, n: int) -> np.ndarray:
-    """A Bloom filter (2 hashes) of ids, as bytes; gathered in pieces of 16 KB, MOST_BITS at most."""
-    bits = 1 << max(17, min(MOST_BITS, 16 * n).bit_length())
-    bits = min(bits, MOST_BITS)
-
-    def run(rows):
-        part = np.zeros(1 << 14, np.uint8)
-        at = rows.column("bit").to_numpy()
-        np.bitwise_or.at(part, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        return pa.table({"piece": rows.column("piece").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
-
-    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.lit(bits)) for k in (1, 2)])).alias("spot")).distinct()
-    pieces = spots.selectExpr("cast(spot div 131072 as int) as piece", "cast(spot % 131072 as int) as bit").groupBy("piece").applyInArrow(run, "piece int, part binary")
-    out = np.zeros(bits >> 3, np.uint8)
-    for x in pieces.collect():
-        out[x.piece << 14 : (x.piece + 1) << 14] = np.frombuffer(x.part, np.uint8)
-    return out
 
-
-def _node_sets(given: DataFrame, width: int, bits, counts, cuts: np.ndarray) -> DataFrame:
-    """(sig, f0, f1, ..): the sets of the documents that the filter lets through, cut at the fragments' bounds."""
-    n_bits = len(bits.value) << 3
-    spots = [F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.lit(n_bits)).alias(f"spot{k}") for k in (1, 2)]
+def _cut_sets(kept: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(sig, f0, f1, ..): the shared shingles of nodes, cut at the fragments' bounds."""
 
     def run(batches):
-        held, table_, seen = bits.value, counts.value, set()
-        for batch in batches:
-            through = np.ones(batch.num_rows, bool)
-            for c in (0, 1):
-                at = batch.column(c).to_numpy()
-                through &= (held[at >> 3] >> (at & 7)) & 1 == 1
+        for sets in _sets(batches):
             rows = [[] for _ in range(CUTS + 1)]
-            for _, s in _texts(batch.filter(pa.array(through)), width):
-                sig = signature(s)
-                if sig is None or sig in seen:
-                    continue
-                seen.add(sig)
-                frag = np.searchsorted(cuts, _ordered(s, table_), "right")
+            for sig, _, t, c in sets:
+                at = [0, *np.searchsorted(_places(c, t), cuts).tolist(), len(t)]
                 rows[0].append(sig)
                 for k in range(CUTS):
-                    rows[k + 1].append(s[frag == k].tobytes())
+                    rows[k + 1].append(np.sort(t[at[k] : at[k + 1]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["sig", *[f"f{k}" for k in range(CUTS)]])
 
-    return given.select(*spots, "text").mapInArrow(lambda b: tidied(run(b)), "sig binary, " + ", ".join(f"f{k} binary" for k in range(CUTS)))
+    return kept.mapInArrow(lambda b: tidied(run(b)), "sig binary, " + ", ".join(f"f{k} binary" for k in range(CUTS)))
 
 
 def _partial(sets, pairs):
@@ -415,6 +589,47 @@ def _long_list_links(lists: DataFrame, known: DataFrame, sets: DataFrame, percen
     return every.unionByName(strays).join(sets, "sig").groupBy("cell", "p", "q").applyInArrow(_cell_links(percent), "u binary, v binary")
 
 
+def _named_nodes(given: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (keys.., n, sig) of given (keys.., text), and the nodes (sig, copies, rep, root); rep is the least of the keys as
+    a struct, those without a doc_id last."""
+    spark = given.sparkSession
+    keys = [c for c in given.columns if c != "text"]
+    signed = written(_signed(given, width), "signed")
+    rows = signed.filter("hot is null").select(*keys, "n", "sig")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *keys)).alias("rep")
+    nodes = signed.filter("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("n").alias("n"), rep, F.count("*").alias("copies"))
+    nodes = cut(nodes)
+    n_nodes, total, of_rows = (int(x or 0) for x in nodes.agg(F.count("*"), F.sum("n"), F.sum(F.expr("n * copies"))).first())
+    named = nodes.select("sig", "copies", "rep", F.col("sig").alias("root"))
+    if n_nodes < 2:
+        return rows, named
+    hot = spark.sparkContext.broadcast(_hot_shingles(signed, n_nodes, of_rows))
+    n_tasks = max(LEAST_TASKS, total // PER_COUNT)
+    back = _dealt(given, width, n_tasks, hot).groupBy("part").applyInArrow(_counted(n_tasks), "home bigint, nodes binary, many binary, tokens binary, classes binary")
+    homes = nodes.select(F.pmod("node", F.lit(n_tasks)).alias("at_home"), "node", "sig", "n")
+    kept = homes.groupBy("at_home").cogroup(back.groupBy("home")).applyInArrow(_assembled(percent), "sig binary, n bigint, tokens binary, classes binary")
+    kept = written(kept, "nodes")
+    prefix, whole = _masses(kept, percent)
+    if not whole.sum():
+        return rows, named
+    n_frag = max(LEAST_FRAGMENTS, int(prefix.sum()) // PER_FRAGMENT)
+    pivots, cuts = _quantiles(prefix, np.arange(1, n_frag) / n_frag), _quantiles(whole, np.arange(1, CUTS) / CUTS)
+    found = written(_fragments(kept, percent, pivots).groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
+    pairs = cut(_candidates(found, percent))
+    lists = found.filter("list is not null").select("list", "a", "na")
+    if pairs.isEmpty() and lists.isEmpty():
+        return rows, named
+    sets = _cut_sets(kept, cuts)
+    n_links = max(12, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
+    known = components(cut(_linked(pairs, sets, percent, n_links)))
+    links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if not lists.isEmpty():
+        links = links.unionByName(_long_list_links(lists, known, sets, percent))
+    final = components(links)
+    named = final.join(nodes, final.node == nodes.sig, "right").select("sig", "copies", "rep", F.coalesce("root", "sig").alias("root"))
+    return rows, cut(named)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -422,56 +637,45 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     them as one shingle. Documents link where 100 * intersection >= percent * union, and component_id is the
     smallest doc_id reachable by links, its own included. A null, empty or blank text has no set and links with
     nothing. Equal sets link; repeated rows each get a row. A null id counts above all others: it names a component
-    only if no member has an id. Other columns are not looked at; an empty table gives an empty result.
+    only if no member has an id. Texts may have any length. Other columns are not looked at; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = written(_signed(given, width), "signed")
-    counts = np.zeros(ORDER_BUCKETS, np.int32)
-    per = ORDER_BUCKETS // SEGMENTS
-    for x in signed.filter("segment is not null").select("segment", "counts").groupBy("segment").applyInArrow(_summed, "segment int, counts binary").collect():
-        counts[x.segment * per : (x.segment + 1) * per] = np.frombuffer(x.counts, np.int32)
-    rows = signed.filter("segment is null").select("doc_id", "n", "sig")
-    low = (101 - percent) / 100
-    total = float(counts.sum(dtype=np.int64))
-    n_frag = max(LEAST_FRAGMENTS, int(total * low / PER_FRAGMENT))
-    # prefixes fill the low end of the order, so it is cut finer
-    shares = np.concatenate([np.linspace(0, min(1.3 * low, 0.9), 3 * n_frag // 4 + 1)[1:], np.linspace(min(1.3 * low, 0.9), 1, n_frag // 4 + 1)[1:-1]])
-    pivots, cuts = _quantiles(counts, shares), _quantiles(counts, np.arange(1, CUTS) / CUTS)
-    shared = spark.sparkContext.broadcast(counts)
-    found = written(
-        _fragments(given, width, percent, shared, pivots).groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs"
-    )
-    pairs = cut(_candidates(found, percent))
-    lists = found.filter("list is not null").select("list", "a", "na")
-    nodes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    wanted = reduce(DataFrame.unionByName, (d.select(F.col(c).alias("sig")) for d, c in ((pairs, "a"), (pairs, "b"), (lists, "a")))).distinct()
-    wanted = cut(wanted.join(nodes, "sig").select("sig", F.col("rep").alias("doc_id")))
-    links = None
-    n_wanted = wanted.count()
-    if n_wanted:
-        bits = spark.sparkContext.broadcast(_filter_bits(wanted, n_wanted))
-        # the few sets too many, and a second copy where a row is repeated, change nothing in what follows
-        sets = written(_node_sets(given, width, bits, shared, cuts), "sets")
-        n_pairs = pairs.count()
-        n_tasks = max(12, int(2 * n_wanted * max(1.0, total / max(1, rows.count())) / PER_TASK), n_pairs // 20_000)
-        first = cut(_linked(pairs, sets, percent, n_tasks))
-        known = components(first)
-        links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        if not lists.isEmpty():
-            links = links.unionByName(_long_list_links(lists, known, sets, percent))
-        final = components(links)
-        named = final.join(nodes, final.node == nodes.sig, "right").select("sig", "copies", "rep", F.coalesce("root", "sig").alias("root"))
-    else:
-        named = nodes.select("sig", "copies", "rep", F.col("sig").alias("root"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
-    # only nodes with copies or links say anything new; the rows of one node are dealt to SALTS parts
-    told = named.join(least, "root").filter("copies > 1 or members > 1").select("sig", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows, named = _named_nodes(given, width, percent)
+    told = _told(named).select("sig", "salt", F.col("least.doc_id").alias("component_id"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(told, ["sig", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _told(named: DataFrame) -> DataFrame:
+    """(sig, least, salt) of nodes that have copies or links; the rows of one node are dealt to SALTS parts."""
+    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    return named.join(least, "root").filter("copies > 1 or members > 1").select("sig", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each group of near duplicates, as near_duplicates() finds them.
+
+    Of a group the row with the smallest id stays, those without one last; of rows that share it, the one whose text has the
+    least hash; of equal rows, one. Unlike texts stay, with a shared id or without any, and so do all rows without
+    words. Columns are those of docs. An empty table gives an empty result.
+    """
+    at = {"__pl_id": F.col(id_col).cast("bigint"), "__pl_th": F.xxhash64(text_or_empty(text_col))}
+    given = docs.select(at["__pl_id"].alias("doc_id"), at["__pl_th"].alias("th"), text_or_empty(text_col).alias("text"))
+    rows, named = _named_nodes(given, width, percent)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).join(_told(named), ["sig", "salt"])
+    one = F.expr("least.doc_id <=> doc_id and least.th = th").alias("first")
+    verdict = cut(rows.select("doc_id", "th", one).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count("*").alias("rows")).filter("not first or rows > 1"))
+    verdict = verdict.select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th"), F.col("first").alias("__pl_first"))
+    keyed = docs.withColumns(at)
+    same = (keyed["__pl_th"] == verdict["__pl_th"]) & keyed["__pl_id"].eqNullSafe(verdict["__pl_id"])
+    joined = keyed.join(verdict.drop("__pl_first"), same, "left_anti")
+    if verdict.filter("__pl_first").isEmpty():
+        return joined.select(*docs.columns)
+    again = keyed.join(verdict.filter("__pl_first"), same, "left_semi").dropDuplicates(["__pl_id", "__pl_th"])
+    return joined.unionByName(again).select(*docs.columns)
+
+
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

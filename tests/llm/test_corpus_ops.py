@@ -328,10 +328,10 @@ def brute_components(texts):
     return [(len(s), top(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("long, block", [(32, 1024), (4, 16)])
-def test_jaccard_join(spark, docs, odd, monkeypatch, long, block):
-    monkeypatch.setattr(jaccard_join, "LONG", long)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize("long, block, hot, split", [(32, 1024, 1000, 50_000), (4, 16, 1000, 50_000), (32, 16, 20, 50_000), (8, 16, 1000, 10), (4, 16, 30, 25)])
+def test_jaccard_join(spark, docs, odd, monkeypatch, long, block, hot, split):
+    for name, value in (("LONG", long), ("BLOCK", block), ("HOT_LEAST", hot), ("SPLIT", split), ("HELD", 2000), ("PER_COUNT", 1000)):
+        monkeypatch.setattr(jaccard_join, name, value)
     want = brute_components(TEXTS)
     assert max(Counter(c for _, c in want).values()) > 40
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
