@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm.common import written
+from ..functions.scratch import written
 
 #: File name endings and JPEG qualities of the export profiles; fixed values.
 EXTENSIONS = {"web": "jpg", "print": "jpg", "high_jpeg": "jpg", "maximum_compression": "webp", "archive": "png", "lossless": "png"}
