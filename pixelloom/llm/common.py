@@ -1,43 +1,21 @@
-"""Shared plumbing of the corpus operators: tables, the shared scratch folder, code shipping."""
+"""Shared plumbing of the corpus operators: the driver's tables, cuts of lineage, memory of Python workers."""
 
 from __future__ import annotations
 
-import io
-import os
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import fresh_path, written  # noqa: F401
+from ..functions.shipping import ship  # noqa: F401
+
 #: What a row without a doc_id counts as: it sorts before every real id.
 NO_ID = -(2**63)
 
-_shipped: set[str] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path is only ever opened by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI.
-
-    It is the one named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a folder of our own is set.
-    """
-    ctx = spark.sparkContext
-    named = ctx.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = ctx.getCheckpointDir()
-    if not named:
-        named = f"file:///tmp/checkpoints/pixelloom-{ctx.applicationId}"
-        ctx.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder, which outlives executors: a cut of lineage.
 
@@ -47,42 +25,6 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "cut")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A folder name of its own below the shared folder."""
-    return f"{shared_dir(spark)}/pixelloom-{label}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this module handed out."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """df as a compressed table in the shared folder, optionally in parts by columns. Job folders there can go with the job."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, unless their path has it already."""
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    _shipped.add(app)
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted((root / "pixelloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    at = Path("/tmp") / f"pixelloom-{app}-{uuid.uuid4().hex[:8]}"
-    at.mkdir()
-    (at / "pixelloom_code.zip").write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(str(at / "pixelloom_code.zip"))
-
-
 def tidied(batches):
     """What a Python worker yields; at the end it gives freed memory back, as workers live on from job to job."""
     import ctypes
