@@ -38,8 +38,8 @@ from .common import cut, table, text_or_empty, tidied, written
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-#: Shingles that a task packs at once, shingles to a counting task, and the least number of those.
-HELD, PER_COUNT, LEAST_TASKS = 1_000_000, 1_000_000, 32
+#: Shingles that a task packs at once, shingles to a counting group, groups to a task, and the least number of groups.
+HELD, PER_COUNT, GROUPS, LEAST_GROUPS = 1_000_000, 500_000, 4, 64
 #: A shingle is hot in a packed run with so many nodes there, and hot at all from a share of the nodes and a number of them on.
 HOT_IN_RUN, HOT_SHARE, HOT_LEAST, MOST_HOT = 4, 1 / 1000, 1000, 1 << 20
 #: Counts up to EXACT are classes of their own, larger ones have STEPS classes to a doubling.
@@ -519,6 +519,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, n_tasks: int) -> Da
     stacked = ", ".join(f"{k}, f{k}" for k in range(CUTS))
     parts = need.join(sets, "sig").selectExpr("task", "sig", f"stack({CUTS}, {stacked}) as (frag, tokens)")
     asked = pairs.select(F.col("task").alias("at_task"), F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("at_frag"), "a", "b", "na", "nb")
+    n = max(1, n_tasks * CUTS // GROUPS)
+    parts, asked = parts.repartition(n, "task", "frag"), asked.repartition(n, "at_task", "at_frag")
     counted = parts.groupBy("task", "frag").cogroup(asked.groupBy("at_task", "at_frag")).applyInArrow(_partial, "a binary, b binary, na bigint, nb bigint, n bigint")
     summed = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n").alias("n"))
     return summed.filter(f"100 * n >= {percent} * (na + nb - n)").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -604,23 +606,25 @@ def _named_nodes(given: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     if n_nodes < 2:
         return rows, named
     hot = spark.sparkContext.broadcast(_hot_shingles(signed, n_nodes, of_rows))
-    n_tasks = max(LEAST_TASKS, total // PER_COUNT)
-    back = _dealt(given, width, n_tasks, hot).groupBy("part").applyInArrow(_counted(n_tasks), "home bigint, nodes binary, many binary, tokens binary, classes binary")
-    homes = nodes.select(F.pmod("node", F.lit(n_tasks)).alias("at_home"), "node", "sig", "n")
-    kept = homes.groupBy("at_home").cogroup(back.groupBy("home")).applyInArrow(_assembled(percent), "sig binary, n bigint, tokens binary, classes binary")
+    # groups, and the tasks that they are dealt to, are as many as the data asks for, so that none grows with it
+    n_groups = max(LEAST_GROUPS, total // PER_COUNT)
+    n_tasks = n_groups // GROUPS
+    back = _dealt(given, width, n_groups, hot).repartition(n_tasks, "part").groupBy("part").applyInArrow(_counted(n_groups), "home bigint, nodes binary, many binary, tokens binary, classes binary")
+    homes = nodes.select(F.pmod("node", F.lit(n_groups)).alias("at_home"), "node", "sig", "n").repartition(n_tasks, "at_home")
+    kept = homes.groupBy("at_home").cogroup(back.repartition(n_tasks, "home").groupBy("home")).applyInArrow(_assembled(percent), "sig binary, n bigint, tokens binary, classes binary")
     kept = written(kept, "nodes")
     prefix, whole = _masses(kept, percent)
     if not whole.sum():
         return rows, named
     n_frag = max(LEAST_FRAGMENTS, int(prefix.sum()) // PER_FRAGMENT)
     pivots, cuts = _quantiles(prefix, np.arange(1, n_frag) / n_frag), _quantiles(whole, np.arange(1, CUTS) / CUTS)
-    found = written(_fragments(kept, percent, pivots).groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
+    found = written(_fragments(kept, percent, pivots).repartition(max(LEAST_FRAGMENTS // GROUPS, n_frag // GROUPS), "frag").groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
     pairs = cut(_candidates(found, percent))
     lists = found.filter("list is not null").select("list", "a", "na")
     if pairs.isEmpty() and lists.isEmpty():
         return rows, named
     sets = _cut_sets(kept, cuts)
-    n_links = max(12, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
+    n_links = max(LEAST_FRAGMENTS, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
     known = components(cut(_linked(pairs, sets, percent, n_links)))
     links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not lists.isEmpty():

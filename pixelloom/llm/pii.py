@@ -127,17 +127,17 @@ def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')"
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``pii``: array of (start, rank, stop, kind, score), by start and then kind, offsets in code points.
+def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """docs with ``out_col``: array of (start, rank, stop, kind, score), by start and then kind, offsets in code points.
 
     Within a kind spans are leftmost and do not overlap; different kinds may. Scores are between 0 and 1, and higher with a
     context word. A null or empty text has none, and a text is searched whole, however long. Repeated rows have the same
-    spans. A column ``pii`` of the input is replaced; all others stay. An empty table gives an empty result.
+    spans. A column of that name in the input is replaced; all others stay. An empty table gives an empty result.
     """
-    out = docs.drop("pii").withColumn("__pl_text", text_or_empty(text_col))
+    out = docs.drop(out_col).withColumn("__pl_text", text_or_empty(text_col))
     found = {f"__pl_{k}": F.expr(_spans(k, "__pl_text")) for k in KINDS}
     kept = ", ".join(f"__pl_{k}" if k in BASE_KINDS else f"filter(__pl_{k}, x -> x.score >= {KEEP})" for k in KINDS)
-    return out.withColumns(found).withColumn("pii", F.expr(f"array_sort(concat({kept}))")).drop("__pl_text", *found)
+    return out.withColumns(found).withColumn(out_col, F.expr(f"array_sort(concat({kept}))")).drop("__pl_text", *found)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -146,29 +146,29 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text stays null, everything else stays as it is: repeated rows, other columns, and texts without spans. An empty
     table gives an empty result. Work is linear in the text and its spans, as pieces are taken from chunks of it.
     """
-    found = find_pii(docs, text_col)
+    found = find_pii(docs, text_col, "__pl_pii")
     part = f"substring(c[k], cast(greatest(g.a - k * {CHUNK}, 0) + 1 as int), cast(least(g.b - k * {CHUNK}, {CHUNK}) - greatest(g.a - k * {CHUNK}, 0) as int))"
     piece = f"if(g.b <= g.a, '', array_join(transform(sequence(cast(g.a div {CHUNK} as int), cast((g.b - 1) div {CHUNK} as int)), k -> {part}), ''))"
     # where blocks of spans begin, and how far the spans before them reach
     none = "cast(array() as array<struct<i: int, at: bigint>>)"
-    reach = f"greatest(t.at, array_max(transform(slice(pii, k + 1, {FOLD}), x -> x.stop)))"
+    reach = f"greatest(t.at, array_max(transform(slice(__pl_pii, k + 1, {FOLD}), x -> x.stop)))"
     blocks = (
-        f"aggregate(sequence(0, size(pii) - 1, {FOLD}), named_struct('at', 0L, 'out', {none}), (t, k) -> named_struct('at', {reach}, "
+        f"aggregate(sequence(0, size(__pl_pii) - 1, {FOLD}), named_struct('at', 0L, 'out', {none}), (t, k) -> named_struct('at', {reach}, "
         "'out', concat(t.out, array(named_struct('i', k, 'at', t.at)))), t -> t.out)"
     )
     # the stretches that stay, each with the label behind it
     empty = "cast(array() as array<struct<a: bigint, b: bigint, kind: string>>)"
     stretches = (
-        f"flatten(transform({blocks}, b -> aggregate(slice(pii, b.i + 1, {FOLD}), named_struct('at', b.at, 'out', {empty}), (s, x) -> named_struct("
+        f"flatten(transform({blocks}, b -> aggregate(slice(__pl_pii, b.i + 1, {FOLD}), named_struct('at', b.at, 'out', {empty}), (s, x) -> named_struct("
         "'at', greatest(s.at, x.stop), 'out', if(x.start < s.at, s.out, concat(s.out, array(named_struct('a', s.at, 'b', x.start, 'kind', x.kind))))), s -> s.out)))"
     )
-    last = "named_struct('a', array_max(transform(pii, x -> x.stop)), 'b', cast(char_length(__pl_text) as bigint), 'kind', '')"
+    last = "named_struct('a', array_max(transform(__pl_pii, x -> x.stop)), 'b', cast(char_length(__pl_text) as bigint), 'kind', '')"
     body = f"array_join(transform(concat({stretches}, array({last})), g -> concat({piece}, if(g.kind = '', '', concat('[', upper(g.kind), ']')))), '')"
     chunks = f"regexp_extract_all(__pl_text, '(?s).{{1,{CHUNK}}}', 0)"
     bound = body.replace("c[k]", "p.c[k]")
     given = found.withColumn("__pl_text", F.col(text_col))
     new = F.expr(f"transform(array(named_struct('c', {chunks})), p -> {bound})[0]")
-    return given.withColumn(text_col, F.when(F.size("pii") > 0, new).otherwise(F.col("__pl_text"))).select(*docs.columns)
+    return given.withColumn(text_col, F.when(F.size("__pl_pii") > 0, new).otherwise(F.col("__pl_text"))).select(*docs.columns)
 
 
 def op5_pii_spans(spark, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("head", F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))")).withColumn("tail", F.expr("substring(next, 1, cast(n_chars div 4 as int))"))
     meta = rows.filter("not ghost").select("range", "rid", "did", "n_chars", F.sha2(F.concat("head", "tail").cast("binary"), 256).alias("edited_sha256"))
     # words of both texts are told apart from those of one: the head up to its last blank is in both
-    both = rows.withColumn("both", F.expr(f"regexp_replace(head, r'(?<!{WORD}){WORD}++$', '')"))
+    both = rows.withColumn("both", F.expr(f"regexp_replace(head, r'(?<!{WORD}){WORD}++\\z', '')"))
     rest = "cast(char_length(both) + 1 as int)"
     parts = both.select("range", "rid", F.expr(
         f"explode(array(named_struct('v', 3, 't', both), named_struct('v', 1, 't', substring(text, {rest})), "

@@ -328,7 +328,7 @@ def brute_components(texts):
     return [(len(s), top(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("long, block, hot, split", [(32, 1024, 1000, 50_000), (4, 16, 1000, 50_000), (32, 16, 20, 50_000), (8, 16, 1000, 10), (4, 16, 30, 25)])
+@pytest.mark.parametrize("long, block, hot, split", [(32, 1024, 1000, 50_000), (4, 16, 1000, 50_000), (8, 16, 30, 10)])
 def test_jaccard_join(spark, docs, odd, monkeypatch, long, block, hot, split):
     for name, value in (("LONG", long), ("BLOCK", block), ("HOT_LEAST", hot), ("SPLIT", split), ("HELD", 2000), ("PER_COUNT", 1000)):
         monkeypatch.setattr(jaccard_join, name, value)
