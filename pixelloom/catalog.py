@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog_sql as S
+from . import plan_sql, workspace_catalog
 from .functions import codec
+from .functions.codec import spread_bytes
 from .functions.shipping import ship
-from .operators import aggregate, geometry, mask, overlay, planner, point, rasterize, regions, window
+from .operators import aggregate, geometry, kernels, mask, overlay, packed, planner, point, rasterize, regions, window
 from .plans import compiler, presets
 from .plans.ops import op, plan
 from .sources.rasters import HEIGHT as H
@@ -132,11 +134,11 @@ def _register() -> None:
     _px("uneven_lighting", lambda p: window.uneven_lighting(window.clustered(p), 0.62, 6.0), S.uneven(0.62, 6.0))
     _px("deblock", lambda p: window.deblock(window.clustered(p), 0.58), S.deblock(0.58))
     _px("denoise3", lambda p: window.denoise(window.clustered(p), 0.34, 0.84), S.denoise(0.34, 0.84))
-    _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7))
-    _px("gaussian_blur", lambda p: window.gaussian_blur(window.clustered(p), 1.0))
-    _px("sharpen", lambda p: window.sharpen(window.clustered(p), 0.45))
-    _px("document_enhance", lambda p: compiler.apply_plan(p, presets.PRESETS["document_grayscale"], W, H))
-    _px("conservative_restore", lambda p: compiler.apply_plan(p, presets.PRESETS["conservative_restore"], W, H))
+    _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7), S.denoise(0.8, 0.7))
+    _px("gaussian_blur", lambda p: window.gaussian_blur(window.clustered(p), 1.0), S.gaussian(1.0))
+    _px("sharpen", lambda p: window.sharpen(window.clustered(p), 0.45), S.unsharp(0.45))
+    _px("document_enhance", lambda p: compiler.apply_plan(p, presets.PRESETS["document_grayscale"], W, H), S.document(0.76, True))
+    _px("conservative_restore", lambda p: compiler.apply_plan(p, presets.PRESETS["conservative_restore"], W, H), S.chain(S.white_balance(0.42), S.local_contrast(0.26, 40, 1.25), S.denoise(0.22, 0.86), S.sharpen(0.3, 1.1, 0.04)))
 
     # geometry
     _px("geo_reflect", lambda p: geometry.reflect_horizontal(p, W), S.reflect())
@@ -145,7 +147,22 @@ def _register() -> None:
     _px("geo_crop", lambda p: geometry.crop(p, 0.25, 0.1, 0.5, 0.6, W, H), S.crop(*geometry.crop_box(0.25, 0.1, 0.5, 0.6, W, H)))
     _px("geo_straighten", lambda p: geometry.straighten(p, 7.0, W, H), S.straighten(7.0))
     _px("geo_perspective", lambda p: geometry.perspective(p, CORNERS, W, H), S.perspective(CORNERS))
-    _px("geo_lens", lambda p: geometry.lens_correction(p, 0.08, -0.3, 0.02, W, H))
+    _px("geo_lens", lambda p: geometry.lens_correction(p, 0.08, -0.3, 0.02, W, H), S.lens(0.08, -0.3, 0.02))
+    for name, o, sql in (
+        ("deblock", op("deblock", strength=0.58), S.deblock(0.58)), ("denoise", op("denoise", strength=0.34, preserve_edges=0.84), S.denoise(0.34, 0.84)), ("white_balance", op("auto_white_balance", strength=0.66), S.white_balance(0.66)),
+        ("local_contrast", op("local_contrast", strength=0.32, tile_size=8, clip_limit=1.4), S.local_contrast(0.32, 8, 1.4)), ("mild_deblur", op("mild_deblur", strength=0.38, radius=1.2), S.mild_deblur(0.38, 1.2)),
+        ("uneven_lighting", op("uneven_lighting_correction", strength=0.62, radius=6), S.uneven(0.62, 6.0)), ("document", op("document_enhance", strength=0.76, grayscale=True), S.document(0.76, True)),
+        ("straighten", op("straighten", degrees=7), S.straighten(7.0)), ("perspective", op("perspective", corners=CORNERS), S.perspective(CORNERS)), ("rotate90", op("rotate", degrees=90), S.rotate(90)),
+        ("lens", op("lens_correction", distortion=0.08, vignetting=-0.3, chromatic_aberration=0.02), S.lens(0.08, -0.3, 0.02)),
+    ):
+        _px(f"packed_{name}", lambda p, v=o: unpack(packed.apply_packed(pack(p), v)), sql)
+    masks = lambda f: lambda m: spread_bytes(f(kernels.pack_masks(m)), "mask_id", "cov", ("cov",))
+    _mk("packed_fill_holes", masks(packed.fill_holes), S.fill_holes())
+    _mk("packed_remove_islands", masks(lambda m: packed.remove_islands(m, 6)), S.remove_islands(6))
+    _mk("packed_thumbnail", masks(lambda m: packed.thumbnail(m, 8, 20)), S.thumbnail(8, 20))
+    for eight, tolerance in ((False, 0.2), (True, 0.15)):
+        wand = lambda s, d, e=eight, t=tolerance: spread_bytes(packed.wand(pack(embedding_pixels(s, d)), SEED, t, eight=e).withColumnRenamed("image_id", "mask_id"), "mask_id", "cov", ("cov",)).select(*MK)
+        _add(f"packed_wand{8 if eight else 4}", wand, S.wand_region(SEED, tolerance, eight) if eight else S.wand_region(SEED, tolerance))
     _px("pack_round_trip", lambda p: unpack(pack(p)), f"{S.P} select * from pix")
 
     # shapes and selections
@@ -167,14 +184,15 @@ def _register() -> None:
     _add("brush_pressure", _pressure, S.PRESSURE)
 
     # plans, time and names
-    _add("plan_rules", _plan_rules, _plan_sql())
-    _add("plan_validate", lambda s, d: planner.check_plans(_plan_rules(s, d)).groupBy("status", "valid").agg(F.count("*").alias("n")))
+    _add("plan_rules", _plan_rules, plan_sql.rules(REQUESTS))
+    _add("plan_validate", lambda s, d: planner.check_plans(_plan_rules(s, d)).groupBy("status", "valid").agg(F.count("*").alias("n")), plan_sql.checked(REQUESTS))
     _add("history_sessions", lambda s, d: sessions.coalesced(s.read.parquet(f"{d}/events.parquet"), ["user_id", "event_type"], "ts", 12 * 3_600_000, "event_id"), S.SESSIONS)
     _add("embedded_reconcile", _reconcile, S.RECONCILE)
     _add("latest_request", lambda s, d: sessions.latest_requests(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id"), S.LATEST)
     _add("history_timeline", lambda s, d: sessions.timeline(s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id"), "user_id", "event_id", 3), S.TIMELINE)
     _add("batch_skip_existing", _batch_names, S.BATCH)
     _add("workflow_search", _workflow_search, S.SEARCH)
+    workspace_catalog.register(_add)
 
 
 def _luma() -> str:
@@ -206,32 +224,6 @@ def _plan_rules(spark, d: str) -> DataFrame:
     return planner.plans(req, a)
 
 
-def _plan_sql() -> str:
-    """The rules over the same requests, one UNION branch an operation and rule."""
-    texts = ", ".join("'" + t.replace("'", "''") + "'" for t in REQUESTS)
-    flags = ", ".join(f"({' or '.join(f'contains(norm, {chr(39)}{p}{chr(39)})' for p in ph.split('|'))}) as {'noise_' if n == 'noise' else n}" for n, ph in planner.PHRASES.items())
-    at, parts = 0, []
-    for rule, _, ops in planner.RULES:
-        for cond, kind, params in ops:
-            parts.append(f"select image_id, request_id, {at} as pos, {planner.STAGES[kind]} as stage, '{kind}' as kind, '{params}' as params from f where ({rule}) and ({cond})")
-            at += 1
-    main = " union all ".join(parts)
-    fall = " union all ".join(f"select image_id, request_id, {100 + k} as pos, {planner.STAGES[kind]} as stage, '{kind}' as kind, '{params}' as params from fell where {cond}" for k, (cond, kind, params) in enumerate(planner.FALLBACK))
-    matches = " + ".join(f"cast(({' and '.join('f.' + w for w in r.split(' and '))}) as integer)" for r, _, _ in planner.RULES)
-    analysis = S.analysis().removeprefix("with ")
-    head, _, tail = analysis.rpartition("\nselect ")
-    return f"""with {head}, an as (select image_id, round(average_luminance, 4) as lum, round(local_contrast, 4) as con, round(noise, 4) as noise, dominant,
- (wb >= 0.30 and edge_density >= 0.015 and spread >= 0.20) as likely_document from cst join spa using (image_id) join pc using (image_id) join wh using (image_id)),
-req as (select image_id, image_id * 100 + k as request_id, list_extract([{texts}], cast((image_id * 7 + k) % {len(REQUESTS)} as integer) + 1) as text from an, range({len(REQUESTS)}) t(k)),
-nm as (select *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as norm from req), f as (select nm.*, an.* exclude (image_id), {flags} from nm join an using (image_id)),
-ops0 as ({main}), fell as (select * from f where keep and not exists (select 1 from ops0 o where o.request_id = f.request_id)), ops1 as (select * from ops0 union all {fall}),
-ops2 as (select *, row_number() over (partition by request_id, kind order by pos) as k, row_number() over (partition by request_id order by pos) as place from ops1),
-ops3 as (select request_id, string_agg(kind || ':' || params, ';' order by stage, pos) as operations from ops2 where k = 1 group by request_id),
-st as (select f.request_id, f.image_id, case when trim(f.text) = '' then 'invalid' when f.lighter and f.darker then 'conflict' when operations is null then 'no_match' else 'ok' end as status, operations,
- {matches} + case when fell.request_id is not null then 1 else 0 end as m from f left join ops3 using (request_id) left join fell on fell.request_id = f.request_id)
-select request_id, image_id, status, case when status = 'ok' then operations end as operations, case when status = 'ok' then round(least(0.92e0, 0.52e0 + least(m, 4) * 0.09e0), 4) end as confidence from st"""
-
-
 def _pressure(spark, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return overlay.pressed(e.select("event_id", F.expr("case when event_type in ('click', 'view') then 'pen' else 'mouse' end").alias("pointer"), (F.col("value") / 100).alias("pressure")), 48.0, 0.9).select("event_id", "diameter", "opacity")

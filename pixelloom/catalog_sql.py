@@ -355,19 +355,25 @@ def deblock(s):
 left join pix h on h.image_id = p.image_id and h.y = p.y and h.x = {partner('x')} left join pix v on v.image_id = p.image_id and v.x = p.x and v.y = {partner('y')}"""
 
 
+def _in_order(start: str, value: str) -> str:
+    """A sum from start, place by place, in the type of both."""
+    return f"list_reduce(list_prepend({start}, list({value} order by k)), lambda u, v: u + v)"
+
+
 def denoise(s, keep):
     import numpy as np
 
     g = np.float32
     r = 2 if s > 0.65 else 1
     scale = n(float(g(8) + (g(1) - g(keep)) * g(64)))
-    offs = [(i, j) for j in range(-r, r + 1) for i in range(-r, r + 1)]
-    joins = " ".join(f"join pix n{k} on n{k}.image_id = p.image_id and n{k}.x = greatest(0, least({W - 1}, p.x + {i})) and n{k}.y = greatest(0, least({H - 1}, p.y + {j}))" for k, (i, j) in enumerate(offs))
-    w = lambda k, i, j: f"case when n{k}.a = 0 then {n(0)} else {n(float(g(1) / g(1 + i * i + j * j)))} * ({n(1)} / ({n(1)} + (({n(0)} + abs({f('p.r')} - {f(f'n{k}.r')}) + abs({f('p.g')} - {f(f'n{k}.g')}) + abs({f('p.b')} - {f(f'n{k}.b')})) / {n(3)}) / {scale})) end as w{k}"
-    cols = ", ".join([w(k, i, j) for k, (i, j) in enumerate(offs)] + [f"n{k}.{c} as {c}{k}" for k in range(len(offs)) for c in "rgb"])
-    tot = lambda c: "(" + f"{n(0)} + " + " + ".join(f"{f(f'{c}{k}')} * w{k}" if c else f"w{k}" for k in range(len(offs))) + ")"
-    e = lambda c: f"case when a = 0 or {tot('')} <= {_EPS} then {c} else {u8(f'{f(c)} + ({tot(c)} / {tot(chr(0)[:0])} - {f(c)}) * {n(s)}')} end as {c}"
-    return f"{P}, q as (select p.*, {cols} from pix p {joins}) select image_id, y, x, {e('r')}, {e('g')}, {e('b')}, a from q"
+    offs = ", ".join(f"({k}, {i}, {j}, {n(float(g(1) / g(1 + i * i + j * j)))})" for k, (j, i) in enumerate((j, i) for j in range(-r, r + 1) for i in range(-r, r + 1)))
+    far = f"(({n(0)} + abs({f('p.r')} - {f('q.r')}) + abs({f('p.g')} - {f('q.g')}) + abs({f('p.b')} - {f('q.b')})) / {n(3)})"
+    w = f"case when q.a = 0 then {n(0)} else o.w * ({n(1)} / ({n(1)} + {far} / {scale})) end"
+    e = lambda c: f"case when a = 0 or total <= {_EPS} then {c} else {u8(f'{f(c)} + (s{c} / total - {f(c)}) * {n(s)}')} end as {c}"
+    return f"""{P}, o(k, i, j, w) as (values {offs}),
+near as (select p.image_id, p.y, p.x, k, q.r as nr, q.g as ng, q.b as nb, {w} as w from pix p, o, pix q where q.image_id = p.image_id and q.x = greatest(0, least({W - 1}, p.x + o.i)) and q.y = greatest(0, least({H - 1}, p.y + o.j))),
+sums as (select image_id, y, x, {_in_order(n(0), 'w')} as total, {', '.join(f"{_in_order(n(0), f'{f(f"n{c}")} * w')} as s{c}" for c in 'rgb')} from near group by image_id, y, x)
+select image_id, y, x, {e('r')}, {e('g')}, {e('b')}, a from pix join sums using (image_id, y, x)"""
 
 
 def decontaminate_sql(s, r):
@@ -564,7 +570,7 @@ TIMELINE = "with a as (select event_id, user_id, cast(row_number() over (partiti
 
 BATCH = """with u as (select distinct '/in/' || replace(p_name, ' ', '#') || '_' || cast(p_partkey // 2 as varchar) || case when p_partkey % 2 = 0 then '.PNG' else '.jpeg' end as path from part),
 i as (select path, cast(row_number() over (order by lower(path), path) - 1 as integer) as idx from u),
-t as (select *, replace(regexp_replace(string_split(path, '/')[3], '[.][^.]*$', ''), '#', '_') || '-out.png' as target from i where idx < 10000),
+t as (select *, replace(regexp_replace(string_split(path, '/')[3], '[.][^.]*$', ''), '#', '_') || '-out.png' as target from i),
 x as (select distinct replace(p_name, ' ', '_') || '_' || cast(p_partkey // 2 as varchar) || '-out.png' as target, true as there from part where p_partkey % 10 = 3),
 c as (select t.*, there, row_number() over (partition by t.target order by idx) as claim from t left join x using (target))
 select idx, path, target, case when there or claim > 1 then 'skipped' else 'run' end as status from c"""
@@ -590,3 +596,69 @@ select m.mask_id, g.y, g.x, {', '.join(f'cast({e} as integer) as {c}' for c, e i
 PRESSURE = """with p as (select event_id, event_type in ('click', 'view') and value is not null as pen, greatest(0e0, least(1e0, value / 100)) as p from events)
 select event_id, case when pen then floor(greatest(1e0, least(512e0, 48e0 * (0.35e0 + (1e0 - 0.35e0) * p))) * 1000000e0 + 0.5e0) / 1000000e0 else 48e0 end as diameter,
  case when pen then floor(greatest(0.01e0, least(1e0, 0.9e0 * (0.25e0 + (1e0 - 0.25e0) * p))) * 1000000e0 + 0.5e0) / 1000000e0 else 0.9e0 end as opacity from p"""
+
+
+def chain(*steps):
+    """The last of several statements over pix, each over the rows of the one before."""
+    out = steps[0]
+    for step in steps[1:]:
+        assert step.startswith(P)
+        out = f"with pix as materialized ({out})" + step.removeprefix(P)
+    return out
+
+
+def _gauss(deviation):
+    """Statements across and z (down): weighted sums of the pixels within three deviations, edges continued."""
+    import math
+
+    reach = max(1, math.ceil(3 * deviation))
+    raw = [math.exp(-0.5 * (k / deviation) ** 2) for k in range(-reach, reach + 1)]
+    weight = [f"{v / sum(raw)!r}e0" for v in raw]
+
+    offs = ", ".join(f"({k}, {k - reach}, {w})" for k, w in enumerate(weight))
+
+    def axis(src, out, c, most, other):
+        total = lambda v: _in_order("0e0", f"cast(q.{v} as double) * o.w")
+        near = f"from {src} p, o, {src} q where q.image_id = p.image_id and q.{other} = p.{other} and q.{c} = greatest(0, least({most}, p.{c} + o.i))"
+        return f"{out} as materialized (select p.image_id, p.y, p.x, {', '.join(f'{total(v)} as {v}' for v in 'rgba')} {near} group by p.image_id, p.y, p.x)"
+
+    return f"o(k, i, w) as (values {offs}), {axis('pix', 'across', 'x', W - 1, 'y')}, {axis('across', 'z', 'y', H - 1, 'x')}"
+
+
+def gaussian(deviation):
+    return f"{P}, {_gauss(deviation)} select image_id, y, x, {', '.join(f'{u8(c)} as {c}' for c in 'rgba')} from z"
+
+
+def unsharp(strength):
+    e = lambda c: u8(f"{f(f'p.{c}')} + ({f(f'p.{c}')} - {f(u8(f'z.{c}'))}) * {n(strength)}") + f" as {c}"
+    return f"{P}, {_gauss(1.2)} select image_id, y, x, {e('r')}, {e('g')}, {e('b')}, p.a from pix p join z using (image_id, y, x)"
+
+
+def document(strength, gray):
+    """The fixed chain for pages, from the statements of its parts."""
+    import numpy as np
+
+    s = lambda v: float(np.float32(strength) * np.float32(v))
+    steps = [white_balance(s(0.45)), uneven(s(0.78), 32.0), local_contrast(s(0.72), 32, 1.6), denoise(s(0.22), 0.85), sharpen(s(0.55), 1.0, 0.025)]
+    return chain(*steps, *([grayscale()] if gray else []))
+
+
+def lens(distortion, vignetting, aberration):
+    """Red, green and blue sampled where each lies, then light by the distance from the middle."""
+    mx, my = n((W - 1) * 0.5), n((H - 1) * 0.5)
+    wx, wy = n(max(1.0, (W - 1) * 0.5)), n(max(1.0, (H - 1) * 0.5))
+    nx, ny = f"(({f('x')} - {mx}) / {wx})", f"(({f('y')} - {my}) / {wy})"
+    parts = [f"d0 as (select image_id, y, x, {nx} as nx, {ny} as ny from pix)", "d1 as (select *, nx * nx + ny * ny as r2 from d0)"]
+    bend = f"({n(1)} + {n(distortion)} * r2)"
+    parts.append(f"d2 as (select *, {mx} + nx * {bend} * {wx} as px, {my} + ny * {bend} * {wy} as py, {n(aberration)} * r2 * {n(2)} as sh from d1)")
+    for tag, sign in (("r", " + "), ("g", None), ("b", " - ")):
+        sx, sy = ("px", "py") if sign is None else (f"px{sign}nx * sh", f"py{sign}ny * sh")
+        parts.append(f"at_{tag} as (select image_id, y, x, {f(sx)} as sx, {f(sy)} as sy from d2)")
+        parts.append(f"in_{tag} as (select *, sx >= 0 and sy >= 0 and sx <= {n(W - 1)} and sy <= {n(H - 1)} as inside, cast(floor(sx) as integer) as l, cast(floor(sy) as integer) as t, sx - cast(floor(sx) as float) as fx, sy - cast(floor(sy) as float) as fy from at_{tag})")
+        v = lambda c: u8(f"({f('p00.' + c)} * ({n(1)} - fx) + {f('p10.' + c)} * fx) * ({n(1)} - fy) + ({f('p01.' + c)} * ({n(1)} - fx) + {f('p11.' + c)} * fx) * fy")
+        corner = lambda a, i, j: f"left join pix {a} on o.inside and {a}.image_id = o.image_id and {a}.x = least(o.l + {i}, {W - 1}) and {a}.y = least(o.t + {j}, {H - 1})"
+        values = ", ".join(f"case when o.inside then {v(c)} else 0 end as {c}" for c in {tag, "a"})
+        parts.append(f"s_{tag} as (select o.image_id, o.y, o.x, {values} from in_{tag} o {corner('p00', 0, 0)} {corner('p10', 1, 0)} {corner('p01', 0, 1)} {corner('p11', 1, 1)})")
+    lit = lambda t: u8(f"{f(f's_{t}.{t}')} * greatest({n(0)}, {n(1)} + {n(vignetting)} * r2)") + f" as {t}"
+    return f"""{P}, {', '.join(parts)} select image_id, y, x, {lit('r')}, {lit('g')}, {lit('b')}, s_g.a from d1
+join s_r using (image_id, y, x) join s_g using (image_id, y, x) join s_b using (image_id, y, x)"""

@@ -31,21 +31,29 @@ def from_runs(r: DataFrame, width: int) -> DataFrame:
 
 
 def checksum(data: bytes) -> str:
-    h = FNV_START
-    for b in data:
-        h = ((h ^ b) * FNV_FACTOR) & 0xFFFFFFFFFFFFFFFF
-    return f"fnv1a64:{h:016x}"
-
+    """FNV-1a in passes over all bytes instead of steps from byte to byte.
 
-def checksums(blocks: list[bytes]) -> list[str]:
-    """Checksums of blocks of equal length, all of them byte by byte at once."""
-    if not blocks or len({len(b) for b in blocks}) > 1:
-        return [checksum(b) for b in blocks]
-    a = np.frombuffer(b"".join(blocks), np.uint8).reshape(len(blocks), -1)
-    h = np.full(len(blocks), FNV_START, np.uint64)
-    for k in range(a.shape[1]):
-        h = (h ^ a[:, k]) * np.uint64(FNV_FACTOR)
-    return [f"fnv1a64:{int(v):016x}" for v in h]
+    An exclusive or with a byte changes a sum by d, which depends on the sum's lowest byte only; with all d the result is a
+    polynomial in the factor. Of the lowest byte, bit j at every place follows from the bits below it and a running exclusive
+    or, as the factor is odd.
+    """
+    a = np.frombuffer(data, np.uint8)
+    start, factor = np.uint8(FNV_START & 0xFF), np.uint8(FNV_FACTOR & 0xFF)
+    low = np.zeros(len(a), np.uint8)  # the sum's lowest byte before each step, bit by bit
+    for j in range(8):
+        bit, below = np.uint8(1 << j), np.uint8((1 << j) - 1)
+        flips = (a ^ (((low ^ a) & below) * factor)) & bit
+        own = np.empty(len(a) + 1, np.uint8)
+        own[0] = start & bit
+        own[1:] = flips
+        low |= np.bitwise_xor.accumulate(own)[:-1]
+    d = ((low ^ a).astype(np.int16) - low).astype(np.int64).view(np.uint64)
+    size, h = 1 << 14, FNV_START
+    powers = np.cumprod(np.full(size, FNV_FACTOR, np.uint64))  # of 1, 2, ..
+    for at in range(0, len(d), size):
+        part = d[at : at + size]
+        h = (h * int(powers[len(part) - 1]) + int((part * powers[: len(part)][::-1]).sum())) & 0xFFFFFFFFFFFFFFFF
+    return f"fnv1a64:{h:016x}"
 
 
 def encode_bytes(data: bytes) -> tuple[str, str]:
@@ -79,19 +87,46 @@ def decode_text(kind: str, text: str, size: int) -> bytes:
     return body
 
 
-def snapshots(m: DataFrame) -> DataFrame:
-    """(mask_id, version, width, height, encoding, data, checksum) of masks; rows are joined before whole masks are."""
+def joined_lines(m: DataFrame) -> DataFrame:
+    """(mask_id, width, height, cov) of long masks: hexadecimal text is joined by scanlines, then by masks, and read once."""
     px = m.groupBy("mask_id", "y").agg(F.expr("array_sort(collect_list(struct(x, cov)))").alias("v"))
-    line = px.select("mask_id", "y", F.size("v").alias("width"), F.expr("unhex(array_join(transform(v, q -> lpad(hex(q.cov), 2, '0')), ''))").alias("line"))
+    line = px.select("mask_id", "y", F.size("v").alias("width"), F.expr("array_join(transform(v, q -> lpad(hex(q.cov), 2, '0')), '')").alias("line"))
     blob = line.groupBy("mask_id").agg(F.max("width").alias("width"), F.count("*").cast("int").alias("height"), F.expr("array_sort(collect_list(struct(y, line)))").alias("v"))
-    blob = blob.select("mask_id", "width", "height", F.expr("aggregate(transform(v, q -> q.line), cast('' as binary), (s, q) -> concat(s, q))").alias("cov"))
+    return blob.select("mask_id", "width", "height", F.expr("unhex(array_join(transform(v, q -> q.line), ''))").alias("cov"))
+
+
+def spread_bytes(packed: DataFrame, key: str, column: str, names: tuple[str, ...]) -> DataFrame:
+    """(key, y, x, names..) of packed rows (key, width, height, column), a million places to a batch at most."""
+    import pyarrow as pa
+
+    kind = packed.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for k, w, h, data in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if not data.is_valid:
+                    continue
+                a, step = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, len(names)), max(1, 1_000_000 // max(1, w))
+                for y in range(0, h, step):
+                    part = a[y : y + step]
+                    n = part.shape[0] * w
+                    ys, xs = np.repeat(np.arange(y, y + part.shape[0], dtype=np.int32), w), np.tile(np.arange(w, dtype=np.int32), part.shape[0])
+                    values = [part[..., c].ravel().astype(np.int32) for c in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(k, n), pa.array(ys), pa.array(xs), *map(pa.array, values)], [key, "y", "x", *names])
+
+    return packed.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, y int, x int, " + ", ".join(f"{c} int" for c in names))
+
+
+def snapshots(m: DataFrame) -> DataFrame:
+    """(mask_id, version, width, height, encoding, data, checksum) of masks; rows are joined before whole masks are."""
+    blob = joined_lines(m)
 
     def run(batches: Iterator):
         import pandas as pd
 
         for b in batches:
             coded = [encode_bytes(bytes(d)) for d in b["cov"]]
-            yield pd.DataFrame({"mask_id": b["mask_id"], "version": 1, "width": b["width"], "height": b["height"], "encoding": [c[0] for c in coded], "data": [c[1] for c in coded], "checksum": checksums([bytes(d) for d in b["cov"]])})
+            yield pd.DataFrame({"mask_id": b["mask_id"], "version": 1, "width": b["width"], "height": b["height"], "encoding": [c[0] for c in coded], "data": [c[1] for c in coded], "checksum": [checksum(bytes(d)) for d in b["cov"]]})
 
     return blob.mapInPandas(run, "mask_id bigint, version int, width int, height int, encoding string, data string, checksum string")
 
@@ -110,6 +145,4 @@ def from_snapshots(s: DataFrame) -> DataFrame:
             yield b[["mask_id", "width", "height"]].assign(cov=out)
 
     raw = s.mapInPandas(run, "mask_id bigint, width int, height int, cov binary")
-    lines = raw.select("mask_id", "width", F.posexplode(F.expr("transform(sequence(0, height - 1), k -> substring(cov, k * width + 1, width))")).alias("y", "line"))
-    px = lines.select("mask_id", "y", F.posexplode(F.expr("transform(sequence(0, width - 1), k -> substring(line, k + 1, 1))")).alias("x", "v"))
-    return px.select("mask_id", "y", "x", F.conv(F.hex("v"), 16, 10).cast("int").alias("cov"))
+    return spread_bytes(raw, "mask_id", "cov", ("cov",))

@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.codec import joined_lines
 from .point import channel_tables
 
 #: Rows that a task takes up at a time.
@@ -22,10 +22,7 @@ BATCH_ROWS = 16
 
 def pack_masks(m: DataFrame) -> DataFrame:
     """(mask_id, width, height, cov) of long masks, scanlines first."""
-    px = m.groupBy("mask_id", "y").agg(F.expr("array_sort(collect_list(struct(x, cov)))").alias("v"))
-    line = px.select("mask_id", "y", F.size("v").alias("width"), F.expr("unhex(array_join(transform(v, q -> lpad(hex(q.cov), 2, '0')), ''))").alias("line"))
-    blob = line.groupBy("mask_id").agg(F.max("width").alias("width"), F.count("*").cast("int").alias("height"), F.expr("array_sort(collect_list(struct(y, line)))").alias("v"))
-    return blob.select("mask_id", "width", "height", F.expr("aggregate(transform(v, q -> q.line), cast('' as binary), (s, q) -> concat(s, q))").alias("cov"))
+    return joined_lines(m)
 
 
 def _mapped(df: DataFrame, column: str, depth: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

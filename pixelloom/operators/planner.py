@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_REQUEST, MOST_OPERATIONS, MOST_WARNINGS = 1000, 8, 8
+#: Pictures that requests without one of their own are put to.
+MOST_SHARED = 1000
 
 #: Phrases of each condition; fixed values.
 PHRASES = {
@@ -73,17 +75,55 @@ def normalised(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
 
 
-def plans(requests: DataFrame, analyses: DataFrame) -> DataFrame:
-    """(request_id, image_id, status, operations, confidence) of each request for each picture.
+#: What is told about a step, by type and, for an amount, its sign; fixed values.
+EXPLANATIONS = {
+    ("brightness", "-"): "Reduces global luminance by a bounded amount.",
+    ("brightness", "+"): "Raises global luminance by a bounded amount.",
+    ("contrast", "-"): "Softens the global difference between light and dark tones.",
+    ("contrast", "+"): "Increases the global difference between light and dark tones.",
+    ("auto_white_balance", ""): "Uses trimmed channel statistics to reduce a broad color cast.",
+    ("local_contrast", ""): "Improves nearby brightness differences without globally increasing contrast.",
+    ("denoise", ""): "Reduces small pixel variation while weighting major edges more strongly.",
+    ("deblock", ""): "Softens selected 8×8 boundary discontinuities conservatively.",
+    ("edge_aware_sharpen", ""): "Raises contrast at captured edges while thresholding flatter regions.",
+    ("mild_deblur", ""): "Applies bounded clarity restoration for slight softness; it does not recreate detail.",
+    ("document_enhance", ""): "Runs a fixed, documented sequence for page lighting, contrast, noise, and text edges.",
+    ("uneven_lighting_correction", ""): "Normalizes broad illumination variation using a low-frequency luminance estimate.",
+}
+#: Names of steps in a summary, where they are not the type itself; fixed values.
+LABELS = {
+    "auto_white_balance": "auto white balance", "local_contrast": "local contrast", "deblock": "JPEG cleanup", "edge_aware_sharpen": "edge-aware sharpen", "mild_deblur": "mild deblur",
+    "document_enhance": "document enhance", "uneven_lighting_correction": "uneven lighting",
+}
+#: Conditions and texts of warnings, in the order of the rules; fixed values.
+WARNINGS = [
+    ("lighter and lum >= 0.72", "The image already appears bright, so the plan does not increase global brightness."),
+    ("darker and lum <= 0.25", "The image already appears dark, so the plan does not reduce global brightness."),
+    ("color and keep", "Color correction was omitted because the request asks to preserve colors."),
+    ("jpeg", "JPEG cleanup can reduce visible blocks but cannot restore discarded data."),
+    ("blur", "Mild Deblur improves captured edge contrast; it cannot recover missing information."),
+    ("sharpen and noise > 0.15", "Sharpening is thresholded because the analysis estimates visible noise."),
+    ("document", "Document enhancement increases local contrast and may reduce photographic realism."),
+]
+OMITTED = "The request matched more edits than the safe plan limit; lower-priority steps were omitted."
+DOCUMENT_SUMMARY, SUMMARY = "Improve readability using a reviewable deterministic document plan.", "Apply a conservative deterministic plan using "
+
 
-    requests: (request_id, text); analyses: (image_id, lum, con, noise, dominant, likely_document), joined where both
-    carry image_id, otherwise the (few) analyses are given to each request. operations are "type:parameters" in order of
-    stage. status is ok, conflict, no_match or invalid (an empty or too long request).
+def plans(requests: DataFrame, analyses: DataFrame, explained: bool = False) -> DataFrame:
+    """(request_id, image_id, status, operations, confidence) of each request for its picture.
+
+    requests: (request_id, image_id, text); analyses: (image_id, lum, con, noise, dominant, likely_document). Where
+    not both have an image_id, requests go to every analysis, of which there may then be MOST_SHARED. operations are "type:parameters" in order of stage. status is ok, conflict, no_match or invalid (an empty or too long request).
+    Plans that are ``explained`` also have summary, explanations (one a step) and warnings.
     """
-    on = "image_id" if "image_id" in requests.columns else None
     q = requests.withColumn("norm", F.expr(normalised("coalesce(text, '')")))
     q = q.withColumns({("noise_" if n == "noise" else n): F.expr(" or ".join(f"contains(norm, '{p}')" for p in phrases.split("|"))) for n, phrases in PHRASES.items()})
-    q = q.join(analyses, on) if on else q.join(analyses)
+    if "image_id" in q.columns and "image_id" in analyses.columns:
+        q = q.join(analyses, "image_id")
+    elif analyses.limit(MOST_SHARED + 1).count() <= MOST_SHARED:
+        q = q.crossJoin(F.broadcast(analyses))
+    else:
+        raise ValueError(f"requests for more than {MOST_SHARED} pictures must name their own")
     item = lambda rule, cond, kind, params: f"case when ({rule}) and ({cond}) then named_struct('stage', {STAGES[kind]}, 'type', '{kind}', 'params', '{params}') end"
     listed = [item(r, c, k, p) for r, _, ops in RULES for c, k, p in ops]
     q = q.withColumn("ops", F.expr(f"filter(array({', '.join(listed)}), o -> o is not null)"))
@@ -93,7 +133,7 @@ def plans(requests: DataFrame, analyses: DataFrame) -> DataFrame:
     q = q.withColumn("ops", F.expr(f"if(fell, filter(array({fallback}), o -> o is not null), ops)"))
     # the first of a type stays, at its place; then by stage, places breaking ties
     q = q.withColumn("ops", F.expr("filter(transform(ops, (o, i) -> named_struct('stage', o.stage, 'at', i, 'type', o.type, 'params', o.params)), o -> array_position(transform(ops, x -> x.type), o.type) = o.at + 1)"))
-    q = q.withColumn("ops", F.expr(f"slice(array_sort(ops), 1, {MOST_OPERATIONS})"))
+    q = q.withColumn("found", F.size("ops")).withColumn("ops", F.expr(f"slice(array_sort(ops), 1, {MOST_OPERATIONS})"))
     status = f"case when trim(coalesce(text, '')) = '' or char_length(trim(text)) > {MOST_REQUEST} then 'invalid' when lighter and darker then 'conflict' when size(ops) = 0 then 'no_match' else 'ok' end"
     q = q.withColumn("status", F.expr(status))
     keep = [c for c in ("request_id", "image_id") if c in q.columns]
@@ -101,13 +141,27 @@ def plans(requests: DataFrame, analyses: DataFrame) -> DataFrame:
         *keep, "status",
         F.expr("case when status = 'ok' then array_join(transform(ops, o -> concat(o.type, ':', o.params)), ';') end").alias("operations"),
         F.expr("case when status = 'ok' then round(least(0.92D, 0.52D + least(matches + cast(fell as int), 4) * 0.09D), 4) end").alias("confidence"),
+        *(_told() if explained else []),
     )
 
 
+def _told() -> list:
+    """Columns with what is told about a plan's steps."""
+    text = lambda v: "'" + v.replace("'", "\\'") + "'"
+    sign = "case when startswith(o.params, 'amount=-') then '-' when startswith(o.params, 'amount=') then '+' else '' end"
+    each = " ".join(f"when o.type = '{k}' and {sign} = '{s}' then {text(v)}" for (k, s), v in EXPLANATIONS.items())
+    label = "case o.type " + " ".join(f"when '{k}' then {text(v)}" for k, v in LABELS.items()) + " else o.type end"
+    summary = f"if(document, {text(DOCUMENT_SUMMARY)}, concat({text(SUMMARY)}, array_join(transform(ops, o -> {label}), ', '), '.'))"
+    raised = ", ".join([*[f"case when {c} then {text(v)} end" for c, v in WARNINGS], f"case when found > {MOST_OPERATIONS} then {text(OMITTED)} end"])
+    warnings = f"slice(filter(array({raised}), w -> w is not null), 1, {MOST_WARNINGS})"
+    told = {"summary": summary, "explanations": f"transform(ops, o -> case {each} end)", "warnings": warnings}
+    return [F.expr(f"case when status = 'ok' then {e} end").alias(k) for k, e in told.items()]
+
+
 def check_plans(p: DataFrame) -> DataFrame:
-    """plans with ``valid``: not empty nor too long, types unique, stages never falling."""
+    """plans with ``valid``: not empty nor too long, types unique, stages never falling, no saturation of a grey result."""
     kinds = "transform(split(operations, ';'), o -> split(o, ':')[0])"
     stage = "element_at(map(" + ", ".join(f"'{k}', {v}" for k, v in STAGES.items()) + "), k)"
     stages = f"transform({kinds}, k -> {stage})"
-    ok = f"operations is not null and size({kinds}) between 1 and {MOST_OPERATIONS} and size(array_distinct({kinds})) = size({kinds}) and array_sort({stages}) = {stages}"
+    ok = f"operations is not null and size({kinds}) between 1 and {MOST_OPERATIONS} and size(array_distinct({kinds})) = size({kinds}) and array_sort({stages}) = {stages} and not (contains(operations, 'saturation:') and (array_contains({kinds}, 'grayscale') or contains(operations, 'grayscale=true')))"
     return p.withColumn("valid", F.expr(ok))

@@ -113,6 +113,55 @@ def brush_samples(points, diameter: float, opacity: float = 1.0):
     return out
 
 
+def resolved_samples(samples, width: int, height: int):
+    """Dabs along samples (x, y, diameter, opacity), all four changing evenly within a segment; its spacing is the finer end's.
+
+    Raises ValueError for what would touch too many pixels, before any is painted.
+    """
+    import numpy as np
+
+    f = np.float32
+    out, work = [], 0
+
+    def count(n: int, largest: float) -> None:
+        nonlocal work
+        side = int(np.ceil(f(largest))) + 3
+        work += n * min(width, side) * min(height, side)
+        if len(out) + n > MOST_DABS or work > MOST_WORK:
+            raise ValueError("the brush has too many dabs or touches too many pixels")
+
+    if len(samples) == 1:
+        count(1, samples[0][2])
+        return [tuple(map(float, samples[0]))]
+    for a, b in zip(samples, samples[1:], strict=False):
+        a, b = np.array(a, f), np.array(b, f)
+        gap = max(f(min(a[2], b[2]) * f(0.18)), f(0.5))
+        n = max(1, int(np.ceil(float(np.hypot(b[0] - a[0], b[1] - a[1])) / float(gap))))
+        if n > 2 * (width + height + 4096):
+            raise ValueError("a segment of the brush is too long")
+        count(n + 1, float(max(a[2], b[2])))
+        out += [tuple(float(v) for v in a + (b - a) * (f(k) / f(n))) for k in range(n + 1)]
+    return out
+
+
+def resolved_brush(g: DataFrame, width: int, height: int, samples, hardness: float) -> DataFrame:
+    return dabs(g, width, height, resolved_samples(samples, width, height), hardness)
+
+
+def shape(g: DataFrame, kind: str, points, width: int, height: int, **more) -> DataFrame:
+    """A selection by its kind and its points; ValueError for kinds and numbers of points that are not."""
+    least = {"rectangle": 2, "ellipse": 2, "polygon": 3, "freehand": 3, "brush": 1, "resolved_brush": 1}
+    if kind not in least or len(points) < least[kind] or (kind in ("rectangle", "ellipse") and len(points) != 2):
+        raise ValueError(f"no {kind} of {len(points)} points")
+    if kind in ("rectangle", "ellipse"):
+        return (rectangle if kind == "rectangle" else ellipse)(g, width, height, *points)
+    if kind in ("polygon", "freehand"):
+        return (polygon if kind == "polygon" else freehand)(g, points)
+    if kind == "brush":
+        return brush(g, width, height, points, more["diameter"], more["hardness"], more["opacity"])
+    return resolved_brush(g, width, height, points, more["hardness"])
+
+
 def dabs(g: DataFrame, width: int, height: int, samples, hardness: float) -> DataFrame:
     """The largest coverage of all dabs; each falls off linearly beyond its hard part.
 

@@ -46,6 +46,8 @@ RANGES = {
 }
 #: Operations without numeric parameters of their own.
 PLAIN = ("grayscale", "sepia", "reflect_horizontal", "rotate", "curves", "hsl", "perspective", "masked")
+#: What hsl settings apply to; fixed values.
+HSL_BANDS = ("master", "red", "yellow", "green", "cyan", "blue", "magenta")
 GEOMETRY = ("reflect_horizontal", "rotate", "crop", "straighten", "perspective", "lens_correction")
 #: A parameter at this value makes the operation do nothing.
 IDENTITY = {
@@ -117,12 +119,22 @@ def validate(o: Op, inside_mask: bool = False) -> None:
     if o.type == "curves":
         for name in ("rgb", "red", "green", "blue"):
             curve(o.params.get(name, ((0, 0), (1, 1))))
+    if o.type == "hsl":
+        for name, setting in o.params.items():
+            if name not in HSL_BANDS or not isinstance(setting, (list, tuple)) or len(setting) != 3:
+                raise InvalidOperation(f"hsl takes three values for each of {', '.join(HSL_BANDS)}")
+            for part, value, (low, high) in zip(("hue", "saturation", "lightness"), setting, ((-180, 180), (-1, 1), (-1, 1)), strict=True):
+                _within(f"hsl.{name}.{part}", value, low, high)
     if o.type == "perspective":
-        for corner in o.params.get("corners", ()):
-            for v in corner:
-                _within("perspective corner", v, -1, 2)
-        if len(o.params.get("corners", ())) != 4:
+        corners = o.params.get("corners", ())
+        if len(corners) != 4 or any(len(c) != 2 for c in corners):
             raise InvalidOperation("perspective needs four corners")
+        for corner in corners:
+            for v in corner:
+                _within("perspective corner", v, 0, 1)
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = corners
+        if ax >= bx or dx >= cx or ay >= dy or by >= cy:
+            raise InvalidOperation("perspective corners must go around the picture from the top left")
     if o.type == "masked":
         inner = o.params.get("operation")
         if inside_mask or not isinstance(inner, Op) or inner.type == "masked" or inner.type in GEOMETRY:
@@ -139,6 +151,8 @@ def curve(points) -> None:
         _within("curve output", y, 0, 1)
     if any(b[0] <= a[0] for a, b in zip(points, points[1:], strict=False)):
         raise InvalidOperation("curve inputs must rise")
+    if points[0][0] != 0 or points[-1][0] != 1:
+        raise InvalidOperation("a curve goes from input 0 to input 1")
 
 
 def from_json(text: str) -> Op:
@@ -191,6 +205,10 @@ def moved(p: Plan, at: int, to: int) -> Plan:
     return Plan(tuple(rest))
 
 
+def duplicated(p: Plan, at: int) -> Plan:
+    return Plan((*p.ops[: at + 1], p.ops[at], *p.ops[at + 1 :]))
+
+
 def removed(p: Plan, at: int) -> Plan:
     return Plan((*p.ops[:at], *p.ops[at + 1 :]))
 

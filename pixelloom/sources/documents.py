@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import checksum, decode_text
+from ..functions.scratch import written
 
 MOST_MANIFESTS, MOST_MANIFEST_BYTES, MOST_FOLDERS, MOST_MODELS = 64, 64 << 10, 8, 256
 #: Endings of model files, and the kinds of plug-ins; fixed values.
@@ -63,6 +64,87 @@ def read_mask_files(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return _texts(spark, path, "json").mapInPandas(run, "path string, id string, name string, width int, height int, cov binary, error string")
 
 
+def filesystem(uri: str):
+    """A file system and a path in it for a URI."""
+    from urllib.parse import urlsplit
+
+    from pyarrow import fs
+
+    if urlsplit(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlsplit(uri).path
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (name, content) below a folder that all machines share and returns (name, length), one row a file.
+
+    A file is written beside its place and then moved there, so that none is ever seen half written; a task that runs again
+    puts the same content there. Names with a separator are an error.
+    """
+
+    def run(batches: Iterator):
+        import uuid
+
+        system, base = filesystem(folder)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                if not name or "/" in name or "\\" in name:
+                    raise ValueError(f"not a file name: {name}")
+                beside = f"{base}/.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(beside) as out:
+                    out.write(bytes(content))
+                system.move(beside, f"{base}/{name}")
+            yield b[["name"]].assign(length=[len(c) for c in b["content"]])
+
+    return written(files.select("name", "content").mapInPandas(run, "name string, length bigint"), "files")
+
+
+def write_mask_files(snapshots: DataFrame, folder: str, tag: str, created: str = "", source_tool: str = "") -> DataFrame:
+    """Writes a JSON mask file for each snapshot (mask_id, .., as functions.codec.snapshots gives them); returns (name, length)."""
+
+    def run(batches: Iterator):
+        import pandas as pd
+
+        for b in batches:
+            names, bodies = [], []
+            for r in b.to_dict("records"):
+                snap = {"version": int(r["version"]), "width": int(r["width"]), "height": int(r["height"]), "encoding": r["encoding"], "data": r["data"], "checksum": r["checksum"]}
+                names.append(f"mask-{r['mask_id']}.json")
+                bodies.append(mask_document(tag, str(r["mask_id"]), f"Mask {r['mask_id']}", snap, createdAt=created, modifiedAt=created, sourceTool=source_tool).encode())
+            yield pd.DataFrame({"name": names, "content": bodies})
+
+    return write_files(snapshots.mapInPandas(run, "name string, content binary"), folder)
+
+
+def write_mask_pngs(masks: DataFrame, folder: str) -> DataFrame:
+    """Writes packed masks (mask_id, width, height, cov) as grey PNG files of 8 bits; returns (name, length)."""
+    from .rasters import png_bytes
+
+    def run(batches: Iterator):
+        for b in batches:
+            body = [png_bytes(w, h, bytes(d), 1) for w, h, d in zip(b["width"], b["height"], b["cov"], strict=True)]
+            yield b[[]].assign(name=[f"mask-{k}.png" for k in b["mask_id"]], content=body)
+
+    return write_files(masks.select("mask_id", "width", "height", "cov").mapInPandas(run, "name string, content binary"), folder)
+
+
+def read_mask_pngs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, cov) of a folder's pictures as masks: their luminance in 8 bits, transparent pixels empty."""
+    from ..operators.packed import light, mapped, rounded
+    from .rasters import read_images
+
+    import_ = lambda px: ((rounded(light(px)).astype("uint16") * px[..., 3] + 127) // 255)
+    return mapped(read_images(spark, path), "data", 4, import_).withColumnRenamed("data", "cov")
+
+
+def bounded_files(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(path, length, content, error) of a folder's files; one of more than ``most`` bytes has no content but an error."""
+    raw = spark.read.format("binaryFile").load(path)
+    small = F.col("length") <= most
+    return raw.select("path", "length", F.when(small, F.col("content")).alias("content"), F.when(~small, F.lit(f"larger than {most} bytes")).alias("error"))
+
+
 def mask_document(tag: str, id_: str, name: str, snapshot: dict, **metadata: str) -> str:
     """The JSON of a mask file; snapshot as functions.codec.snapshots gives it."""
     return json.dumps({"format": tag, "version": 1, "id": id_, "name": name, "mask": snapshot, "metadata": metadata})

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codec import spread_bytes
+
 #: A derived picture has WIDTH columns (of 63 embedding values, three to a pixel) and HEIGHT rows.
 WIDTH, HEIGHT = 21, 50
 MOST_PIXELS, MOST_SIDE = 40_000_000, 20_000
@@ -40,21 +42,19 @@ def size_check(images: DataFrame) -> DataFrame:
 def pack(p: DataFrame) -> DataFrame:
     """rasters (image_id, width, height, data): RGBA bytes, row by row.
 
-    Bytes are joined by scanline first, so no task sorts the pixels of a large picture at once.
+    Pixels are joined by scanline first, so no task sorts those of a large picture at once; they are hexadecimal text until
+    the last step, which reads it once.
     """
-    raw = "unhex(concat(lpad(hex(r), 2, '0'), lpad(hex(g), 2, '0'), lpad(hex(b), 2, '0'), lpad(hex(a), 2, '0')))"
-    rows = p.select("image_id", "y", "x", F.expr(raw).alias("px")).groupBy("image_id", "y")
-    lines = rows.agg(F.expr("array_sort(collect_list(struct(x, px)))").alias("px")).select("image_id", "y", F.size("px").alias("width"), F.expr("aggregate(transform(px, v -> v.px), cast('' as binary), (s, v) -> concat(s, v))").alias("line"))
+    px = F.expr("concat(lpad(hex(r), 2, '0'), lpad(hex(g), 2, '0'), lpad(hex(b), 2, '0'), lpad(hex(a), 2, '0'))").alias("px")
+    rows = p.select("image_id", "y", "x", px).groupBy("image_id", "y").agg(F.expr("array_sort(collect_list(struct(x, px)))").alias("px"))
+    lines = rows.select("image_id", "y", F.size("px").alias("width"), F.expr("array_join(transform(px, v -> v.px), '')").alias("line"))
     whole = lines.groupBy("image_id").agg(F.max("width").alias("width"), F.count("*").cast("int").alias("height"), F.expr("array_sort(collect_list(struct(y, line)))").alias("lines"))
-    return whole.select("image_id", "width", "height", F.expr("aggregate(transform(lines, v -> v.line), cast('' as binary), (s, v) -> concat(s, v))").alias("data"))
+    return whole.select("image_id", "width", "height", F.expr("unhex(array_join(transform(lines, v -> v.line), ''))").alias("data"))
 
 
 def unpack(rasters: DataFrame) -> DataFrame:
-    """Pixels of packed rasters, scanline by scanline."""
-    lines = rasters.select("image_id", "width", F.posexplode(F.expr("transform(sequence(0, height - 1), k -> substring(data, k * width * 4 + 1, width * 4))")).alias("y", "line"))
-    px = lines.select("image_id", "y", F.posexplode(F.expr("transform(sequence(0, width - 1), k -> substring(line, k * 4 + 1, 4))")).alias("x", "px"))
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(px, {k + 1}, 1)")), 16, 10).cast("int")
-    return px.select("image_id", "y", "x", *[byte(k).alias(c) for k, c in enumerate("rgba")])
+    """Pixels of packed rasters; a null blob has none."""
+    return spread_bytes(rasters, "image_id", "data", ("r", "g", "b", "a"))
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -104,6 +104,12 @@ def with_png(rasters: DataFrame) -> DataFrame:
     return rasters.mapInPandas(run, kinds + ", png binary")
 
 
+def data_urls(rasters: DataFrame, longest: int = 1600) -> DataFrame:
+    """(image_id, url): a picture as a data URL of its PNG, for previews; larger ones than ``longest`` are an error."""
+    fits = F.expr(f"if(width <= {longest} and height <= {longest}, true, cast(raise_error('make a preview of the picture first') as boolean))")
+    return with_png(rasters.filter(fits)).select("image_id", F.concat(F.lit("data:image/png;base64,"), F.base64("png")).alias("url"))
+
+
 def file_metadata(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, filename, format, file_size, modified_at, width, height) of a folder's pictures; sizes come from headers.
 
@@ -129,8 +135,15 @@ def header_size(data: bytes) -> tuple[str | None, int | None, int | None]:
     """Format, width and height from a file's first bytes; Nones if they tell nothing."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return "png", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and data[12:16] == b"VP8X" and len(data) >= 30:
-        return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        num = lambda a, b: int.from_bytes(data[a:b], "little")
+        if data[12:16] == b"VP8X":
+            return "webp", 1 + num(24, 27), 1 + num(27, 30)
+        if data[12:16] == b"VP8L" and data[20] == 0x2F:
+            return "webp", 1 + (num(21, 25) & 0x3FFF), 1 + (num(21, 25) >> 14 & 0x3FFF)
+        if data[12:16] == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            return "webp", num(26, 28) & 0x3FFF, num(28, 30) & 0x3FFF
+        return "webp", None, None
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
