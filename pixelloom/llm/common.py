@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import fresh_path, written  # noqa: F401
+from ..functions.scratch import fresh_path, temporary, written  # noqa: F401
 from ..functions.shipping import ship  # noqa: F401
 
 #: What a row without a doc_id counts as: it sorts before every real id.
 NO_ID = -(2**63)
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path is only ever opened by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

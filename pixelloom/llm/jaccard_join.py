@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import cut, table, text_or_empty, tidied, written
+from .common import cut, fresh_path, table, temporary, text_or_empty, tidied, written
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -601,10 +601,22 @@ def _named_nodes(given: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *keys)).alias("rep")
     nodes = signed.filter("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("n").alias("n"), rep, F.count("*").alias("copies"))
     nodes = cut(nodes)
+    named, path = nodes.select("sig", "copies", "rep", F.col("sig").alias("root")), fresh_path(spark, "named")
+    with temporary(spark):
+        roots = _roots(given, signed, nodes, width, percent)
+        if roots is None:
+            return rows, named
+        found = roots.join(nodes, roots.node == nodes.sig, "right").select("sig", "copies", "rep", F.coalesce("root", "sig").alias("root"))
+        found.write.parquet(path)
+    return rows, spark.read.schema(named.schema).parquet(path)
+
+
+def _roots(given: DataFrame, signed: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(node, root) of the nodes that have links, or nothing if none can."""
+    spark = given.sparkSession
     n_nodes, total, of_rows = (int(x or 0) for x in nodes.agg(F.count("*"), F.sum("n"), F.sum(F.expr("n * copies"))).first())
-    named = nodes.select("sig", "copies", "rep", F.col("sig").alias("root"))
     if n_nodes < 2:
-        return rows, named
+        return None
     hot = spark.sparkContext.broadcast(_hot_shingles(signed, n_nodes, of_rows))
     # groups, and the tasks that they are dealt to, are as many as the data asks for, so that none grows with it
     n_groups = max(LEAST_GROUPS, total // PER_COUNT)
@@ -615,23 +627,21 @@ def _named_nodes(given: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     kept = written(kept, "nodes")
     prefix, whole = _masses(kept, percent)
     if not whole.sum():
-        return rows, named
+        return None
     n_frag = max(LEAST_FRAGMENTS, int(prefix.sum()) // PER_FRAGMENT)
     pivots, cuts = _quantiles(prefix, np.arange(1, n_frag) / n_frag), _quantiles(whole, np.arange(1, CUTS) / CUTS)
     found = written(_fragments(kept, percent, pivots).repartition(max(LEAST_FRAGMENTS // GROUPS, n_frag // GROUPS), "frag").groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
     pairs = cut(_candidates(found, percent))
     lists = found.filter("list is not null").select("list", "a", "na")
     if pairs.isEmpty() and lists.isEmpty():
-        return rows, named
+        return None
     sets = _cut_sets(kept, cuts)
     n_links = max(LEAST_FRAGMENTS, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
     known = components(cut(_linked(pairs, sets, percent, n_links)))
     links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not lists.isEmpty():
         links = links.unionByName(_long_list_links(lists, known, sets, percent))
-    final = components(links)
-    named = final.join(nodes, final.node == nodes.sig, "right").select("sig", "copies", "rep", F.coalesce("root", "sig").alias("root"))
-    return rows, cut(named)
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

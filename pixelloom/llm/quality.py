@@ -45,6 +45,8 @@ COMMON_WORDS = {
     "es": "de 62 la 38 que 29 el 29 en 26 y 25 a 20 los 17 se 12 del 12 las 11 un 10 por 10 con 9 no 9 una 9 su 8 para 7 es 7 al 6",
 }
 LANGS = tuple(CHAR_SHARES)
+#: Languages that references are learned for.
+MOST_LANGS = 64
 #: A text without a language is held against the nearest reference, unless more than this share of its code points (blanks
 #: aside) is beyond ASCII: then it is in another script, for which there is none.
 MOST_FOREIGN = 0.5
@@ -56,27 +58,62 @@ _CLASS[[*b".,;:!?'\"()-"]] = 4
 _CLASS[0x80:0xC0], _CLASS[0xC0:] = 7, 6  # 7: the further bytes of a code point
 
 
+class References:
+    """Shares by language of classes and of common words (the last for all other words), the sorted hashes of all common
+    words as they are and with a capital, and each hash's number of the word."""
+
+    def __init__(self, chars: dict[str, tuple], words: dict[str, dict[str, float]]):
+        names = list(dict.fromkeys(w for own in words.values() for w in own))
+        hashes, number = [], []
+        for k, w in enumerate(names):
+            for form in {w, w[0].upper() + w[1:]}:
+                raw = np.frombuffer(form.encode(), np.uint8)
+                hashes.append(tb.Hashes(raw).of(np.array([0]), np.array([len(raw)]))[0])
+                number.append(k)
+        order = np.argsort(np.array(hashes, np.uint64))
+        self.hashes, self.number, self.langs = np.array(hashes, np.uint64)[order], np.array(number, np.int64)[order], tuple(chars)
+        self.chars, self.words = {lang: np.array(v, float) / sum(v) for lang, v in chars.items()}, {}
+        for lang in chars:
+            q = np.zeros(len(names) + 1)
+            for w, share in words.get(lang, {}).items():
+                q[names.index(w)] = share
+            q[-1] = 1 - q.sum()
+            self.words[lang] = q
+
+
 @cache
-def _references() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Shares by language of classes and of common words (the last for all other words), the sorted hashes of all
-    common words as they are and with a capital, and each hash's number of the word."""
-    names = list(dict.fromkeys(w for s in COMMON_WORDS.values() for w in s.split()[::2]))
-    hashes, number = [], []
-    for k, w in enumerate(names):
-        for form in {w, w[0].upper() + w[1:]}:
-            raw = np.frombuffer(form.encode(), np.uint8)
-            hashes.append(tb.Hashes(raw).of(np.array([0]), np.array([len(raw)]))[0])
-            number.append(k)
-    order = np.argsort(np.array(hashes, np.uint64))
-    shares = {}
-    for lang, s in COMMON_WORDS.items():
-        q = np.zeros(len(names) + 1)
-        for w, n in zip(s.split()[::2], s.split()[1::2], strict=True):
-            q[names.index(w)] = int(n) / 1000
-        q[-1] = 1 - q.sum()
-        shares[lang] = q
-    chars = {lang: np.array(v) / sum(v) for lang, v in CHAR_SHARES.items()}
-    return chars, shares, np.array(hashes, np.uint64)[order], np.array(number)[order]
+def fixed_references() -> References:
+    words = {lang: {w: int(n) / 1000 for w, n in zip(s.split()[::2], s.split()[1::2], strict=True)} for lang, s in COMMON_WORDS.items()}
+    return References(CHAR_SHARES, words)
+
+
+def learned_references(docs: DataFrame, labels: DataFrame, least_docs: int = 50, n_words: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> References:
+    """References of the languages that have ``least_docs`` documents labelled good, of their whole texts by grouped aggregation.
+
+    The driver gets seven sums and n_words words a language, MOST_LANGS languages with the most such documents at most. Languages
+    without, and null ones, have none.
+    """
+    from pyspark.sql import functions as F
+
+    lang = F.expr(f"lower(split(replace(`{lang_col}`, '_', '-'), '-')[0])").alias("lang")
+    good = docs.join(labels.filter("quality = 1").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").select(lang, F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    left = lambda pattern: f"char_length(regexp_replace(text, '{pattern}', ''))"
+    kinds = [left("[^a-z]"), left("[^A-Z]"), left("[^0-9]"), left("[^ \\t\\n\\x0B\\f\\r]"), left("[^.,;:!?\\'\"()-]")]
+    beyond, whole = left("[\\x00-\\x7F]"), "char_length(text)"
+    sums = good.groupBy("lang").agg(F.count("*").alias("docs"), *[F.expr(f"sum({k})") for k in (*kinds, f"{whole} - ({' + '.join(kinds)}) - {beyond}", beyond)])
+    rows = sums.filter(F.col("docs") >= least_docs).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect()
+    chars = {r[0]: tuple(max(float(v), 1e-9) for v in r[2:]) for r in rows if sum(r[2:])}
+    said = good.filter(F.col("lang").isin(list(chars))).select("lang", F.explode(F.expr("filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w != '')")).alias("word"))
+    counts = said.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    from pyspark.sql.window import Window
+
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumns({"share": F.col("n") / total, "place": place}).filter(F.col("place") <= n_words)
+    words: dict[str, dict[str, float]] = {}
+    for r in top.collect():
+        words.setdefault(r["lang"], {})[r["word"]] = r["share"]
+    return References(chars, words)
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -96,9 +133,9 @@ def missing_distance(n_common: np.ndarray, n_words: np.ndarray, share: float) ->
     return np.where(n_common < share * n_words, js_distance(both, np.array([share, 1 - share])), 0.0)
 
 
-def measures(data: np.ndarray, offsets: np.ndarray, langs: list) -> dict[str, np.ndarray]:
+def measures(data: np.ndarray, offsets: np.ndarray, langs: list, references: References | None = None) -> dict[str, np.ndarray]:
     """All columns of quality() for a run of texts."""
-    n = len(offsets) - 1
+    n, refs = len(offsets) - 1, references or fixed_references()
     starts, ends, row = tb.words(data, offsets)
     hashes = tb.Hashes(data)
     h = hashes.of(starts, ends)
@@ -134,18 +171,18 @@ def measures(data: np.ndarray, offsets: np.ndarray, langs: list) -> dict[str, np
 
     kinds = _CLASS[data]
     classes = np.stack([tb.per_text(kinds == k, offsets) for k in range(7)], 1)
-    char_refs, word_refs, known, number = _references()
-    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    is_known = known[place] == h
-    common = np.zeros((n, len(next(iter(word_refs.values())))), np.int64)
+    char_refs, word_refs, known, number = refs.chars, refs.words, refs.hashes, refs.number
+    place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    is_known = known[place] == h if len(known) else np.zeros(len(h), bool)
+    common = np.zeros((n, 1 + (number.max() + 1 if len(number) else 0)), np.int64)
     np.add.at(common, (row[is_known], number[place[is_known]]), 1)
     common[:, -1] = n_words - common.sum(1)
     out["js_chars"], out["js_words"], out["js_missing"] = np.ones(n), np.ones(n), np.ones(n)
     named = np.array([None if x is None else x.lower().replace("_", "-").partition("-")[0] for x in langs], object)
     foreign = classes[:, 6] > MOST_FOREIGN * np.maximum(classes.sum(1) - classes[:, 3], 1)
-    out["has_reference"] = np.array([x in LANGS if x is not None else not f for x, f in zip(named, foreign, strict=True)], bool)
-    for ref in LANGS:  # without a reference of its own a text is measured by the nearest one
-        mine = np.array([x == ref or x not in LANGS for x in named], bool)
+    out["has_reference"] = np.array([x in refs.langs if x is not None else not f and bool(refs.langs) for x, f in zip(named, foreign, strict=True)], bool)
+    for ref in refs.langs:  # without a reference of its own a text is measured by the nearest one
+        mine = np.array([x == ref or x not in refs.langs for x in named], bool)
         if mine.any():
             out["js_chars"][mine] = np.minimum(out["js_chars"][mine], js_distance(classes[mine], char_refs[ref]))
             out["js_words"][mine] = np.minimum(out["js_words"][mine], js_distance(common[mine], word_refs[ref]))
@@ -167,13 +204,13 @@ COLUMNS = {
 _SQL = {pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean"}
 
 
-def _pass(batches: Iterator[pa.RecordBatch], only_kept: bool) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], only_kept: bool, references: References | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         text, lang = batch.column(names.index("__pl_text")), batch.column(names.index("__pl_lang")).to_pylist()
         parts = []
         for a, b, data, offs in tb.text_runs(text):
-            parts.append(measures(data, offs, lang[a:b]))
+            parts.append(measures(data, offs, lang[a:b], references))
         found = {k: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], t) for k, t in COLUMNS.items()}
         rest = [k for k, x in enumerate(names) if x not in ("__pl_text", "__pl_lang")]
         if only_kept:
@@ -183,13 +220,13 @@ def _pass(batches: Iterator[pa.RecordBatch], only_kept: bool) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in rest] + list(found.values()), [names[k] for k in rest] + list(found))
 
 
-def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, references: References | None = None) -> DataFrame:
     """The columns ``carry`` (by default all) of docs with the measures and the verdict ``kept``.
 
     Words are runs without blanks; a null text is empty and, having under MIN_WORDS words, fails. A language is the part of
     ``lang`` before its region, in any case. One without a reference gets no verdict (has_reference is false, the distances
     are to the nearest reference); a null language, or a table without that column, is held against the nearest one unless
-    the text is in another script. Texts below the guards pass the divergence tests; texts of any length are used whole.
+    the text is in another script. ``references`` are the fixed ones unless others are given (learned_references). Texts below the guards pass the divergence tests; texts of any length are used whole.
     Repeated rows are judged alike. Columns of docs named like a measure are replaced. An empty table gives an empty result.
     """
     own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in COLUMNS]
@@ -198,16 +235,16 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", car
 
     given = docs.select(*own, docs[text_col].alias("__pl_text"), (F.lit(None).cast("string") if lang is None else lang).alias("__pl_lang"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name in own]
-    return given.mapInArrow(lambda b: tidied(_pass(b, False)), ", ".join(kinds + [f"{k} {_SQL[t]}" for k, t in COLUMNS.items()]))
+    return given.mapInArrow(lambda b: tidied(_pass(b, False, references)), ", ".join(kinds + [f"{k} {_SQL[t]}" for k, t in COLUMNS.items()]))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: References | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; as quality(), null and empty texts go."""
     from pyspark.sql import functions as F
 
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     given = docs.withColumns({"__pl_text": docs[text_col], "__pl_lang": lang})
-    return given.mapInArrow(lambda b: tidied(_pass(b, True)), docs.schema)
+    return given.mapInArrow(lambda b: tidied(_pass(b, True, references)), docs.schema)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

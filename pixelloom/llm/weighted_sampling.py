@@ -24,7 +24,7 @@ SAMPLES, GROUP = 32, 2
 #: Fixed point of ln a: values from -OFFSET on, 2**-SHIFT apart, in 31 bits.
 OFFSET, SHIFT = 90.0, 24
 #: Rows to a range of ids, and the most ranges.
-ROWS_PER_RANGE, MOST_RANGES = 2_000, 16_384
+ROWS_PER_RANGE, MOST_RANGES = 500, 16_384
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 

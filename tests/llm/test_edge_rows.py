@@ -250,6 +250,23 @@ def test_quality_other_languages(spark):
     assert [got[k].has_reference for k in range(4)] == [False, False, False, True] and not any(got[k].diverges for k in range(3))
 
 
+def test_quality_learned_references(spark):
+    rnd = random.Random(5)
+    filler = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8)))
+    prose = lambda: " ".join(rnd.choice(["zu", "ko", "mi"]) if k % 3 == 0 else filler() for k in range(150))
+    texts = [prose() for _ in range(80)] + [" ".join(filler() for _ in range(150)) for _ in range(10)] + [prose() for _ in range(10)] + [None]
+    docs = table(spark, texts, lang=["xx-Y"] * 95 + ["yy"] * 5 + [None])
+    labels = spark.createDataFrame([(k, 1) for k in range(80)] + [(99, 1), (80, 0), (1, 1)], "doc_id bigint, quality int")
+    refs = quality.learned_references(docs, labels, n_words=3)
+    assert refs.langs == ("xx",) and 0.3 < 1 - refs.words["xx"][-1] < 0.36 and len(refs.hashes) == 6
+    got = {r.doc_id: r for r in quality.quality(docs, references=refs).collect()}
+    assert not any(got[k].diverges for k in [*range(80), *range(90, 100)]) and all(got[k].diverges for k in range(80, 90))
+    assert [got[k].has_reference for k in (0, 97, 100)] == [True, False, True]
+    none = quality.learned_references(docs, labels.filter("false"))
+    assert none.langs == () and not any(r.diverges or r.has_reference for r in quality.quality(docs, references=none).collect())
+    assert quality.keep_good(docs, references=refs).count() == 90
+
+
 def js(p, q):
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
     kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
