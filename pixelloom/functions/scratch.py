@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI: the one named by ``spark.checkpoint.dir``.
@@ -24,7 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A folder name of its own below the shared folder."""
-    return f"{shared_dir(spark)}/pixelloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pixelloom-{label}-{uuid.uuid4().hex}"
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all folders that were handed out within it to this thread: what reads them must be done by then."""
+    outer, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _made.paths = _made.paths, outer
+        for path in mine:
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

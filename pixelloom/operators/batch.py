@@ -65,7 +65,7 @@ MOST_SIZES = 1000
 def run_folder(
     spark: SparkSession, source: str, plan, template: str = "{name}", profile: str = "lossless", workflow: str = "", existing: DataFrame | None = None, overwrite: bool = False, dry_run: bool = False
 ) -> DataFrame:
-    """(idx, path, target, status, error, png): each file's picture after the plan.
+    """(idx, path, target, status, error, file): each file's picture after the plan, encoded as the profile says.
 
     A file that does not decode is failed and stops no other. Plans whose operations all have packed forms run over pictures of
     any sizes in one pass; others are compiled for each size, of which there may be MOST_SIZES. With ``overwrite`` targets that
@@ -75,12 +75,11 @@ def run_folder(
     from ..sources import rasters
     from . import packed
 
-    if EXTENSIONS[profile] != "png":
-        raise ValueError("only PNG can be written here")
     files = rasters.file_metadata(spark, source).select("path")
     known = existing if existing is not None and not overwrite else spark.createDataFrame([], "target string")
     todo = planned(files, known, template, profile, workflow)
-    nothing = F.lit(None).cast("binary").alias("png")
+    _encoded = lambda done: rasters.with_file(done, profile)
+    nothing = F.lit(None).cast("binary").alias("file")
     error = lambda s: F.when(s == "failed", F.when(F.col("target").isNull(), "no output name").otherwise("cannot decode")).alias("error")
     if dry_run:
         return todo.select("idx", "path", "target", "status", error(F.col("status")), nothing)
@@ -90,21 +89,21 @@ def run_folder(
     out, log = None, todo.withColumn("image_id", same)
     wanted = decoded.join(log.filter("status = 'run'").select("image_id"), "image_id", "left_semi")
     if all(packed.has_kernel(o) for o in plan.ops):
-        out = rasters.with_png(packed.apply_packed(wanted.select("image_id", "width", "height", "data"), *plan.ops))
+        out = _encoded(packed.apply_packed(wanted.select("image_id", "width", "height", "data"), *plan.ops))
     else:
         sizes = [tuple(r) for r in wanted.select("width", "height").distinct().limit(MOST_SIZES + 1).collect()]
         if len(sizes) > MOST_SIZES:
             raise ValueError(f"pictures of more than {MOST_SIZES} sizes need a plan of packed forms")
         for w, h in sizes:
             p = rasters.unpack(wanted.filter((F.col("width") == w) & (F.col("height") == h)))
-            done = rasters.with_png(rasters.pack(apply_plan(p, plan, w, h)))
+            done = _encoded(rasters.pack(apply_plan(p, plan, w, h)))
             out = done if out is None else out.unionByName(done)
     if out is None:
         status = F.when(F.col("status") == "run", "failed").otherwise(F.col("status"))
         return log.select("idx", "path", "target", status.alias("status"), error(status), nothing)
-    q = log.join(out.select("image_id", "png"), "image_id", "left")
-    status = F.when((F.col("status") == "run") & F.col("png").isNull(), "failed").when(F.col("status") == "run", "ok").otherwise(F.col("status"))
-    return q.select("idx", "path", "target", status.alias("status"), error(status), F.when(status == "ok", F.col("png")).alias("png"))
+    q = log.join(out.select("image_id", "file"), "image_id", "left")
+    status = F.when((F.col("status") == "run") & F.col("file").isNull(), "failed").when(F.col("status") == "run", "ok").otherwise(F.col("status"))
+    return q.select("idx", "path", "target", status.alias("status"), error(status), F.when(status == "ok", F.col("file")).alias("file"))
 
 
 def counters(log: DataFrame) -> DataFrame:

@@ -15,21 +15,21 @@ MOST_SHARED = 1000
 
 #: Phrases of each condition; fixed values.
 PHRASES = {
-    "lighter": "too dark|underexposed|brighten|brighter|lighter|increase brightness|lift shadows",
-    "darker": "too bright|overexposed|darken|darker|dim this|reduce brightness",
-    "keep": "without changing colors|keep colors|preserve colors",
-    "keep_improve": "improve without changing colors|improve while preserving colors",
-    "color": "yellow|warm cast|too warm|blue cast|too blue|too cool|indoor lighting|white balance|colors more natural|natural colors",
-    "weak": "washed out|flat|faded|weak contrast|bring out|more readable",
-    "harsh": "too much contrast|harsh contrast|reduce contrast",
-    "noise": "grainy|noisy|reduce noise|remove noise|sensor noise",
-    "jpeg": "compression|jpeg|blocky|blocking artifacts|jpeg artifacts",
-    "blur": "blurry|blurred|soft|slight blur|camera shake",
-    "sharpen": "sharpen|more detail|crisper|clearer edges",
-    "uneven": "uneven lighting|uneven illumination|page shadow|lighting gradient|shadow across",
-    "document": "document|receipt|scan|reading|writing|handwriting|notes|worksheet|whiteboard|text",
-    "gray": "grayscale|black and white|monochrome",
-    "old": "old photo|old scan|aged photo|restore photo",
+    "lighter": ("too dark", "underexposed", "brighten", "brighter", "lighter", "increase brightness", "lift shadows"),
+    "darker": ("too bright", "overexposed", "darken", "darker", "dim this", "reduce brightness"),
+    "keep": ("without changing colors", "keep colors", "preserve colors"),
+    "keep_improve": ("improve without changing colors", "improve while preserving colors"),
+    "color": ("yellow", "warm cast", "too warm", "blue cast", "too blue", "too cool", "indoor lighting", "white balance", "colors more natural", "natural colors"),
+    "weak": ("washed out", "flat", "faded", "weak contrast", "bring out", "more readable"),
+    "harsh": ("too much contrast", "harsh contrast", "reduce contrast"),
+    "noise": ("grainy", "noisy", "reduce noise", "remove noise", "sensor noise"),
+    "jpeg": ("compression", "jpeg", "blocky", "blocking artifacts", "jpeg artifacts"),
+    "blur": ("blurry", "blurred", "soft", "slight blur", "camera shake"),
+    "sharpen": ("sharpen", "more detail", "crisper", "clearer edges"),
+    "uneven": ("uneven lighting", "uneven illumination", "page shadow", "lighting gradient", "shadow across"),
+    "document": ("document", "receipt", "scan", "reading", "writing", "handwriting", "notes", "worksheet", "whiteboard", "text"),
+    "gray": ("grayscale", "black and white", "monochrome"),
+    "old": ("old photo", "old scan", "aged photo", "restore photo"),
 }
 #: Stage of each operation in a finished plan; fixed values.
 STAGES = {
@@ -37,7 +37,8 @@ STAGES = {
     "deblock": 50, "denoise": 55, "mild_deblur": 60, "edge_aware_sharpen": 65,
 }
 
-#: Rules in order: condition over flags, whether it counts as a match, and operations (condition, type, parameters).
+#: Rules in order: condition over flags, whether it counts as a match, and operations (condition, type, parameters). Thresholds,
+#: parameters and their order are fixed values.
 #: lum, con, noise, dominant and likely_document are of the picture.
 RULES: list[tuple[str, bool, list[tuple[str, str, str]]]] = [
     ("keep and keep_improve", True, [("true", "local_contrast", "strength=0.22,tile_size=40,clip_limit=1.15")]),
@@ -117,7 +118,7 @@ def plans(requests: DataFrame, analyses: DataFrame, explained: bool = False) ->
     Plans that are ``explained`` also have summary, explanations (one a step) and warnings.
     """
     q = requests.withColumn("norm", F.expr(normalised("coalesce(text, '')")))
-    q = q.withColumns({("noise_" if n == "noise" else n): F.expr(" or ".join(f"contains(norm, '{p}')" for p in phrases.split("|"))) for n, phrases in PHRASES.items()})
+    q = q.withColumns({("noise_" if n == "noise" else n): F.expr(" or ".join(f"contains(norm, '{p}')" for p in phrases)) for n, phrases in PHRASES.items()})
     if "image_id" in q.columns and "image_id" in analyses.columns:
         q = q.join(analyses, "image_id")
     elif analyses.limit(MOST_SHARED + 1).count() <= MOST_SHARED:

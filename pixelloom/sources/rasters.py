@@ -104,6 +104,32 @@ def with_png(rasters: DataFrame) -> DataFrame:
     return rasters.mapInPandas(run, kinds + ", png binary")
 
 
+def with_file(rasters: DataFrame, profile: str) -> DataFrame:
+    """rasters with ``file``, the picture encoded as an export profile says: JPEG on white, PNG, or lossless WebP."""
+    from ..operators.batch import EXTENSIONS, jpeg_quality
+
+    ending, quality = EXTENSIONS[profile], jpeg_quality(profile)
+
+    def run(batches: Iterator):
+        import numpy as np
+
+        from ..functions import imagefiles
+
+        for b in batches:
+            out = []
+            for w, h, d in zip(b["width"], b["height"], b["data"], strict=True):
+                px = np.frombuffer(d, np.uint8).reshape(h, w, 4)
+                if ending == "jpg":
+                    a = px[..., 3:].astype(np.int32)
+                    out.append(imagefiles.jpeg_bytes(w, h, (px[..., :3] * a + 255 * (255 - a) + 127) // 255, quality))
+                else:
+                    out.append(imagefiles.webp_bytes(w, h, px) if ending == "webp" else png_bytes(w, h, d))
+            yield b.assign(file=out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.schema.fields)
+    return rasters.mapInPandas(run, kinds + ", file binary")
+
+
 def data_urls(rasters: DataFrame, longest: int = 1600) -> DataFrame:
     """(image_id, url): a picture as a data URL of its PNG, for previews; larger ones than ``longest`` are an error."""
     fits = F.expr(f"if(width <= {longest} and height <= {longest}, true, cast(raise_error('make a preview of the picture first') as boolean))")
