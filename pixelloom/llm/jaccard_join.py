@@ -20,7 +20,8 @@ is dealt out by fragment:
    that connect are returned. So no pair of a large group is ever listed, and no link between components is lost.
 5. Connected components, and back to documents.
 
-Texts are read twice and never shuffled. What is shuffled are the shingles, packed, once, and then those that nodes share.
+Texts are read twice and never shuffled. What is shuffled are the shingles, packed, once, and then those that nodes share. A shingle
+takes 8 bytes, and its node 8 more unless another shingle of the node goes to the same group: the more groups there are, the rarer that is.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .components import components
 
 WIDTH, PERCENT = 5, 80
 #: Shingles that a task packs at once, shingles to a counting group, groups to a task, and the least number of groups.
-HELD, PER_COUNT, GROUPS, LEAST_GROUPS = 1_000_000, 500_000, 4, 64
+HELD, PER_COUNT, GROUPS, LEAST_GROUPS = 1_000_000, 2_000_000, 2, 64
 #: A shingle is hot in a packed run with so many nodes there, and hot at all from a share of the nodes and a number of them on.
 HOT_IN_RUN, HOT_SHARE, HOT_LEAST, MOST_HOT = 4, 1 / 1000, 1000, 1 << 20
 #: Counts up to EXACT are classes of their own, larger ones have STEPS classes to a doubling.
@@ -519,8 +520,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, n_tasks: int) -> Da
     stacked = ", ".join(f"{k}, f{k}" for k in range(CUTS))
     parts = need.join(sets, "sig").selectExpr("task", "sig", f"stack({CUTS}, {stacked}) as (frag, tokens)")
     asked = pairs.select(F.col("task").alias("at_task"), F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("at_frag"), "a", "b", "na", "nb")
-    n = max(1, n_tasks * CUTS // GROUPS)
-    parts, asked = parts.repartition(n, "task", "frag"), asked.repartition(n, "at_task", "at_frag")
     counted = parts.groupBy("task", "frag").cogroup(asked.groupBy("at_task", "at_frag")).applyInArrow(_partial, "a binary, b binary, na bigint, nb bigint, n bigint")
     summed = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n").alias("n"))
     return summed.filter(f"100 * n >= {percent} * (na + nb - n)").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -630,13 +629,13 @@ def _roots(given: DataFrame, signed: DataFrame, nodes: DataFrame, width: int, pe
         return None
     n_frag = max(LEAST_FRAGMENTS, int(prefix.sum()) // PER_FRAGMENT)
     pivots, cuts = _quantiles(prefix, np.arange(1, n_frag) / n_frag), _quantiles(whole, np.arange(1, CUTS) / CUTS)
-    found = written(_fragments(kept, percent, pivots).repartition(max(LEAST_FRAGMENTS // GROUPS, n_frag // GROUPS), "frag").groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
+    found = written(_fragments(kept, percent, pivots).repartition(n_frag // GROUPS, "frag").groupBy("frag").applyInArrow(_paired(percent), PAIR_DDL), "pairs")
     pairs = cut(_candidates(found, percent))
     lists = found.filter("list is not null").select("list", "a", "na")
     if pairs.isEmpty() and lists.isEmpty():
         return None
     sets = _cut_sets(kept, cuts)
-    n_links = max(LEAST_FRAGMENTS, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
+    n_links = max(12, int(whole.sum()) // PER_TASK, pairs.count() // 20_000)
     known = components(cut(_linked(pairs, sets, percent, n_links)))
     links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not lists.isEmpty():
