@@ -97,13 +97,13 @@ def learned_references(docs: DataFrame, labels: DataFrame, least_docs: int = 50,
 
     lang = F.expr(f"lower(split(replace(`{lang_col}`, '_', '-'), '-')[0])").alias("lang")
     good = docs.join(labels.filter("quality = 1").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").select(lang, F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    left = lambda pattern: f"char_length(regexp_replace(text, '{pattern}', ''))"
-    kinds = [left("[^a-z]"), left("[^A-Z]"), left("[^0-9]"), left("[^ \\t\\n\\x0B\\f\\r]"), left("[^.,;:!?\\'\"()-]")]
-    beyond, whole = left("[\\x00-\\x7F]"), "char_length(text)"
+    left = lambda pattern: f"char_length(regexp_replace(text, r'{pattern}', ''))"
+    kinds = [left(k) for k in ("[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"[^.,;:!?\x27\x22()-]")]
+    beyond, whole = left(r"[\x00-\x7F]"), "char_length(text)"
     sums = good.groupBy("lang").agg(F.count("*").alias("docs"), *[F.expr(f"sum({k})") for k in (*kinds, f"{whole} - ({' + '.join(kinds)}) - {beyond}", beyond)])
     rows = sums.filter(F.col("docs") >= least_docs).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect()
     chars = {r[0]: tuple(max(float(v), 1e-9) for v in r[2:]) for r in rows if sum(r[2:])}
-    said = good.filter(F.col("lang").isin(list(chars))).select("lang", F.explode(F.expr("filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w != '')")).alias("word"))
+    said = good.filter(F.col("lang").isin(list(chars))).select("lang", F.explode(F.expr(r"filter(split(text, r'[\x20\x09-\x0D]+'), w -> w != '')")).alias("word"))
     counts = said.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     from pyspark.sql.window import Window
 
