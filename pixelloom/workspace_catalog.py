@@ -405,7 +405,7 @@ def register(add) -> None:
     add("format_texts", _texts, TEXTS)
     add("document_keys", _keys, KEYS)
     add("date_texts", _dates, DATES)
-    add("option_checks", _checks, CHECKS)
+    add("checked_options", _checks, CHECKS)
     add("batch_log", lambda s, d: w.batch_log(_log(s, d)), LOG)
     add("batch_status", lambda s, d: w.batch_status(_log(s, d).filter("idx % 10 < 8"), 90_000), STATUS)
     add("batch_preview", _preview, PREVIEW)
