@@ -251,14 +251,18 @@ def remap_masks(m: DataFrame, old: Chain, new: Chain) -> DataFrame:
     return g.select("mask_id", "y", "x").join(got, ["mask_id", "y", "x"], "left").select("mask_id", "y", "x", F.coalesce("cov", F.lit(0)).alias("cov"))
 
 
-def remap_batch(m: DataFrame, old: Chain, new: Chain, key: str = "mask_id") -> DataFrame:
-    """remap_masks for all masks or none: more than MOST_MASKS, or one that is not a whole picture of the old stage, is an error."""
+def remap_batch(m: DataFrame, old: Chain, new: Chain, key: str = "mask_id", most: int | None = MOST_MASKS, whole: bool = True) -> DataFrame:
+    """remap_masks for all masks or none: more than ``most``, or one that is not a whole picture of the old stage, is an error.
+
+    Without ``most`` there may be any number of masks; unless ``whole``, they may lack places of the stage, but have none twice
+    or beyond it.
+    """
     w, h = old.sizes[-1]
     sizes = m.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("y", "x").alias("places"), F.max("x").alias("x"), F.max("y").alias("y"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-    wrong = f"n != {w * h} or places != n or x0 != 0 or y0 != 0 or x != {w - 1} or y != {h - 1}"
+    wrong = f"places != n or x0 < 0 or y0 < 0 or x > {w - 1} or y > {h - 1}" + (f" or n != {w * h}" if whole else "")
     found = sizes.agg(F.count("*").alias("masks"), F.expr(f"min(case when {wrong} then {key} end)").alias("bad")).first()
-    if found.masks > MOST_MASKS:
-        raise ValueError(f"at most {MOST_MASKS} masks are carried at once")
+    if most is not None and found.masks > most:
+        raise ValueError(f"at most {most} masks are carried at once")
     if found.bad is not None:
         raise ValueError(f"mask {found.bad} does not fit the stage it was made at")
     return remap_masks(m, old, new)
