@@ -212,8 +212,12 @@ def check_geometry(o: Op, width: int, height: int) -> None:
             raise InvalidOperation("the lens folds the picture")
 
 
-def remap_masks(m: DataFrame, old: Chain, new: Chain) -> DataFrame:
-    """Masks made at the end of the old chain, at the end of the new one; what is not shown by both is empty."""
+def remap_masks(m: DataFrame, old: Chain, new: Chain, places: DataFrame | None = None) -> DataFrame:
+    """Masks made at the end of the old chain, at the end of the new one; what is not shown by both is empty.
+
+    The result has all places of the new stage, or those of ``places`` (mask_id, y, x), where pictures lack some. Exact moves
+    keep the places that there are.
+    """
     same = 0
     while same < min(len(old.steps), len(new.steps)) and old.steps[same] == new.steps[same]:
         same += 1
@@ -228,17 +232,16 @@ def remap_masks(m: DataFrame, old: Chain, new: Chain) -> DataFrame:
                 p = geometry.crop(p, o.x, o.y, o.width, o.height, w, h)
         return p.withColumnRenamed("image_id", "mask_id").select("mask_id", "y", "x", "cov")
     (ow, oh), (nw, nh) = old.sizes[-1], new.sizes[-1]
-    rows = m.select("mask_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
+    if places is None:
+        rows = m.select("mask_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
+        places = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nw - 1))))
 
     def run(batches: Iterator):
-        import pandas as pd
-
         for b in batches:
-            y, x = np.repeat(b["y"].to_numpy(), nw), np.tile(np.arange(nw), len(b))
-            sx, sy = old.to_output(*new.to_input(x.astype(float), y.astype(float)))
-            yield pd.DataFrame({"mask_id": np.repeat(b["mask_id"].to_numpy(), nw), "y": y, "x": x, "sx": np.broadcast_to(sx, x.shape), "sy": np.broadcast_to(sy, x.shape)})
+            sx, sy = old.to_output(*new.to_input(b["x"].to_numpy(float), b["y"].to_numpy(float)))
+            yield b.assign(sx=np.broadcast_to(sx, len(b)), sy=np.broadcast_to(sy, len(b)))
 
-    g = rows.mapInPandas(run, "mask_id bigint, y int, x int, sx double, sy double")
+    g = places.select("mask_id", "y", "x").mapInPandas(run, "mask_id bigint, y int, x int, sx double, sy double")
     near = f"not isnan(sx) and not isnan(sy) and sx >= -1e-6D and sy >= -1e-6D and sx <= {ow - 1 + 1e-6!r}D and sy <= {oh - 1 + 1e-6!r}D"
     g = g.withColumn("inside", F.expr(f"coalesce({near}, false)"))
     ask = g.filter("inside").withColumns({"sx": F.expr(f"greatest(0D, least({ow - 1}D, sx))"), "sy": F.expr(f"greatest(0D, least({oh - 1}D, sy))")})
@@ -251,7 +254,7 @@ def remap_masks(m: DataFrame, old: Chain, new: Chain) -> DataFrame:
     return g.select("mask_id", "y", "x").join(got, ["mask_id", "y", "x"], "left").select("mask_id", "y", "x", F.coalesce("cov", F.lit(0)).alias("cov"))
 
 
-def remap_batch(m: DataFrame, old: Chain, new: Chain, key: str = "mask_id", most: int | None = MOST_MASKS, whole: bool = True) -> DataFrame:
+def remap_batch(m: DataFrame, old: Chain, new: Chain, key: str = "mask_id", most: int | None = MOST_MASKS, whole: bool = True, places: DataFrame | None = None) -> DataFrame:
     """remap_masks for all masks or none: more than ``most``, or one that is not a whole picture of the old stage, is an error.
 
     Without ``most`` there may be any number of masks; unless ``whole``, they may lack places of the stage, but have none twice
@@ -265,7 +268,7 @@ def remap_batch(m: DataFrame, old: Chain, new: Chain, key: str = "mask_id", most
         raise ValueError(f"at most {most} masks are carried at once")
     if found.bad is not None:
         raise ValueError(f"mask {found.bad} does not fit the stage it was made at")
-    return remap_masks(m, old, new)
+    return remap_masks(m, old, new, places)
 
 
 def remapped(asked: DataFrame, results: DataFrame, key: str = "key") -> DataFrame:
