@@ -117,9 +117,15 @@ def spread_bytes(packed: DataFrame, key: str, column: str, names: tuple[str, ...
     return packed.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, y int, x int, " + ", ".join(f"{c} int" for c in names))
 
 
-def snapshots(m: DataFrame) -> DataFrame:
-    """(mask_id, version, width, height, encoding, data, checksum) of masks; rows are joined before whole masks are."""
+def snapshots(m: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+    """(mask_id, version, width, height, encoding, data, checksum) of masks; rows are joined before whole masks are.
+
+    ``size`` is what the snapshots state as width and height, else each mask's own. Data are the places that there are, so the
+    snapshot of a mask that lacks some states more than it holds, and from_snapshots rejects it.
+    """
     blob = joined_lines(m)
+    if size:
+        blob = blob.withColumns({"width": F.lit(size[0]), "height": F.lit(size[1])})
 
     def run(batches: Iterator):
         import pandas as pd
