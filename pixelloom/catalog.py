@@ -133,8 +133,8 @@ def _register() -> None:
     _px("mild_deblur", lambda p: window.mild_deblur(window.clustered(p), 0.38, 1.2), S.mild_deblur(0.38, 1.2))
     _px("uneven_lighting", lambda p: window.uneven_lighting(window.clustered(p), 0.62, 6.0), S.uneven(0.62, 6.0))
     _px("deblock", lambda p: window.deblock(window.clustered(p), 0.58), S.deblock(0.58))
-    _px("denoise3", lambda p: window.denoise(window.clustered(p), 0.34, 0.84), S.denoise(0.34, 0.84))
-    _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7), S.denoise(0.8, 0.7))
+    _px("denoise3", lambda p: window.denoise(window.clustered(p), 0.34, 0.84, (W, H)), S.denoise(0.34, 0.84))
+    _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7, (W, H)), S.denoise(0.8, 0.7))
     _px("gaussian_blur", lambda p: window.gaussian_blur(window.clustered(p), 1.0), S.gaussian(1.0))
     _px("sharpen", lambda p: window.sharpen(window.clustered(p), 0.45), S.unsharp(0.45))
     _px("document_enhance", lambda p: compiler.apply_plan(p, presets.PRESETS["document_grayscale"], W, H), S.document(0.76, True))
