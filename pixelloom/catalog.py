@@ -128,7 +128,7 @@ def _register() -> None:
 
     # neighbourhoods
     _add("box_blur", lambda s, d: window.box_blur(window.clustered(embedding_pixels(s, d)).withColumn("l", F.expr(_luma())), "l", 2, "v", size=(W, H)).select("image_id", "y", "x", "v"), S.box_blur(2))
-    _px("local_contrast", lambda p: window.local_contrast(window.clustered(p), 0.32, 8, 1.4), S.local_contrast(0.32, 8, 1.4))
+    _px("local_contrast", lambda p: window.local_contrast(window.clustered(p), 0.32, 8, 1.4, (W, H)), S.local_contrast(0.32, 8, 1.4))
     _px("edge_sharpen", lambda p: window.edge_aware_sharpen(window.clustered(p), 0.46, 1.2, 0.035), S.sharpen(0.46, 1.2, 0.035))
     _px("mild_deblur", lambda p: window.mild_deblur(window.clustered(p), 0.38, 1.2), S.mild_deblur(0.38, 1.2))
     _px("uneven_lighting", lambda p: window.uneven_lighting(window.clustered(p), 0.62, 6.0), S.uneven(0.62, 6.0))

@@ -113,7 +113,7 @@ def apply_step(p: DataFrame, o, width: int, height: int, masks: dict[str, DataFr
         "gaussian_blur": lambda: window.gaussian_blur(p, q["radius"]),
         "sharpen": lambda: window.sharpen(p, q["strength"]),
         "auto_white_balance": lambda: aggregate.auto_white_balance(p, q["strength"]),
-        "local_contrast": lambda: window.local_contrast(p, q["strength"], int(q["tile_size"]), q["clip_limit"]),
+        "local_contrast": lambda: window.local_contrast(p, q["strength"], int(q["tile_size"]), q["clip_limit"], (width, height)),
         "denoise": lambda: window.denoise(p, q["strength"], q["preserve_edges"], (width, height)),
         "deblock": lambda: window.deblock(p, q["strength"]),
         "edge_aware_sharpen": lambda: window.edge_aware_sharpen(p, q["strength"], q["radius"], q["threshold"]),
