@@ -116,8 +116,8 @@ def apply_step(p: DataFrame, o, width: int, height: int, masks: dict[str, DataFr
         "local_contrast": lambda: window.local_contrast(p, q["strength"], int(q["tile_size"]), q["clip_limit"], (width, height)),
         "denoise": lambda: window.denoise(p, q["strength"], q["preserve_edges"], (width, height)),
         "deblock": lambda: window.deblock(p, q["strength"]),
-        "edge_aware_sharpen": lambda: window.edge_aware_sharpen(p, q["strength"], q["radius"], q["threshold"]),
-        "mild_deblur": lambda: window.mild_deblur(p, q["strength"], q["radius"]),
+        "edge_aware_sharpen": lambda: window.edge_aware_sharpen(p, q["strength"], q["radius"], q["threshold"], (width, height)),
+        "mild_deblur": lambda: window.mild_deblur(p, q["strength"], q["radius"], (width, height)),
         "uneven_lighting_correction": lambda: window.uneven_lighting(p, q["strength"], q["radius"]),
         "document_enhance": lambda: document_enhance(p, q["strength"], q.get("grayscale", False)),
     }
