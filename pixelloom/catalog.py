@@ -136,7 +136,7 @@ def _register() -> None:
     _px("denoise3", lambda p: window.denoise(window.clustered(p), 0.34, 0.84, (W, H)), S.denoise(0.34, 0.84))
     _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7, (W, H)), S.denoise(0.8, 0.7))
     _px("gaussian_blur", lambda p: window.gaussian_blur(window.clustered(p), 1.0, (W, H)), S.gaussian(1.0))
-    _px("sharpen", lambda p: window.sharpen(window.clustered(p), 0.45), S.unsharp(0.45))
+    _px("sharpen", lambda p: window.sharpen(window.clustered(p), 0.45, (W, H)), S.unsharp(0.45))
     _px("document_enhance", lambda p: compiler.apply_plan(p, presets.PRESETS["document_grayscale"], W, H), S.document(0.76, True))
     _px("conservative_restore", lambda p: compiler.apply_plan(p, presets.PRESETS["conservative_restore"], W, H), S.chain(S.white_balance(0.42), S.local_contrast(0.26, 40, 1.25), S.denoise(0.22, 0.86), S.sharpen(0.3, 1.1, 0.04)))
 

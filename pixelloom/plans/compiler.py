@@ -111,7 +111,7 @@ def apply_step(p: DataFrame, o, width: int, height: int, masks: dict[str, DataFr
         "perspective": lambda: geometry.perspective(p, q["corners"], width, height),
         "lens_correction": lambda: geometry.lens_correction(p, q["distortion"], q["vignetting"], q["chromatic_aberration"], width, height),
         "gaussian_blur": lambda: window.gaussian_blur(p, q["radius"], (width, height)),
-        "sharpen": lambda: window.sharpen(p, q["strength"]),
+        "sharpen": lambda: window.sharpen(p, q["strength"], (width, height)),
         "auto_white_balance": lambda: aggregate.auto_white_balance(p, q["strength"]),
         "local_contrast": lambda: window.local_contrast(p, q["strength"], int(q["tile_size"]), q["clip_limit"], (width, height)),
         "denoise": lambda: window.denoise(p, q["strength"], q["preserve_edges"], (width, height)),
