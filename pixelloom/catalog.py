@@ -131,7 +131,7 @@ def _register() -> None:
     _px("local_contrast", lambda p: window.local_contrast(window.clustered(p), 0.32, 8, 1.4, (W, H)), S.local_contrast(0.32, 8, 1.4))
     _px("edge_sharpen", lambda p: window.edge_aware_sharpen(window.clustered(p), 0.46, 1.2, 0.035, (W, H)), S.sharpen(0.46, 1.2, 0.035))
     _px("mild_deblur", lambda p: window.mild_deblur(window.clustered(p), 0.38, 1.2, (W, H)), S.mild_deblur(0.38, 1.2))
-    _px("uneven_lighting", lambda p: window.uneven_lighting(window.clustered(p), 0.62, 6.0), S.uneven(0.62, 6.0))
+    _px("uneven_lighting", lambda p: window.uneven_lighting(window.clustered(p), 0.62, 6.0, (W, H)), S.uneven(0.62, 6.0))
     _px("deblock", lambda p: window.deblock(window.clustered(p), 0.58), S.deblock(0.58))
     _px("denoise3", lambda p: window.denoise(window.clustered(p), 0.34, 0.84, (W, H)), S.denoise(0.34, 0.84))
     _px("denoise5", lambda p: window.denoise(window.clustered(p), 0.8, 0.7, (W, H)), S.denoise(0.8, 0.7))

@@ -67,16 +67,16 @@ def stage_sizes(p: Plan, width: int, height: int) -> list[tuple[int, int]]:
     return out
 
 
-def document_enhance(p: DataFrame, strength: float, grayscale: bool = False) -> DataFrame:
+def document_enhance(p: DataFrame, strength: float, grayscale: bool = False, size: window.Size = None) -> DataFrame:
     """A fixed chain for pages: white balance, light, contrast, a little denoising, sharpening, and grey on demand."""
     import numpy as np
 
     s = lambda v: float(np.float32(strength) * np.float32(v))
     p = aggregate.auto_white_balance(p, s(0.45))
-    p = window.uneven_lighting(p, s(0.78), 32.0)
-    p = window.local_contrast(p, s(0.72), 32, 1.6)
-    p = window.denoise(p, s(0.22), 0.85)
-    p = window.edge_aware_sharpen(p, s(0.55), 1.0, 0.025)
+    p = window.uneven_lighting(p, s(0.78), 32.0, size)
+    p = window.local_contrast(p, s(0.72), 32, 1.6, size)
+    p = window.denoise(p, s(0.22), 0.85, size)
+    p = window.edge_aware_sharpen(p, s(0.55), 1.0, 0.025, size)
     return point.grayscale(p) if grayscale else p
 
 
@@ -118,8 +118,8 @@ def apply_step(p: DataFrame, o, width: int, height: int, masks: dict[str, DataFr
         "deblock": lambda: window.deblock(p, q["strength"]),
         "edge_aware_sharpen": lambda: window.edge_aware_sharpen(p, q["strength"], q["radius"], q["threshold"], (width, height)),
         "mild_deblur": lambda: window.mild_deblur(p, q["strength"], q["radius"], (width, height)),
-        "uneven_lighting_correction": lambda: window.uneven_lighting(p, q["strength"], q["radius"]),
-        "document_enhance": lambda: document_enhance(p, q["strength"], q.get("grayscale", False)),
+        "uneven_lighting_correction": lambda: window.uneven_lighting(p, q["strength"], q["radius"], (width, height)),
+        "document_enhance": lambda: document_enhance(p, q["strength"], q.get("grayscale", False), (width, height)),
     }
     return simple[k]()
 
