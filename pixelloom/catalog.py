@@ -155,7 +155,7 @@ def _register() -> None:
         ("straighten", op("straighten", degrees=7), S.straighten(7.0)), ("perspective", op("perspective", corners=CORNERS), S.perspective(CORNERS)), ("rotate90", op("rotate", degrees=90), S.rotate(90)),
         ("lens", op("lens_correction", distortion=0.08, vignetting=-0.3, chromatic_aberration=0.02), S.lens(0.08, -0.3, 0.02)),
     ):
-        _px(f"packed_{name}", lambda p, v=o: unpack(packed.apply_packed(pack(p), v)), sql)
+        _px(f"packed_{name}", lambda p, v=o: unpack(packed.apply_packed(pack(p, (W, H)), v)), sql)
     masks = lambda f: lambda m: spread_bytes(f(kernels.pack_masks(m)), "mask_id", "cov", ("cov",))
     _mk("packed_fill_holes", masks(packed.fill_holes), S.fill_holes())
     _mk("packed_remove_islands", masks(lambda m: packed.remove_islands(m, 6)), S.remove_islands(6))

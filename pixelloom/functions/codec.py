@@ -95,8 +95,11 @@ def joined_lines(m: DataFrame) -> DataFrame:
     return blob.select("mask_id", "width", "height", F.expr("unhex(array_join(transform(v, q -> q.line), ''))").alias("cov"))
 
 
-def spread_bytes(packed: DataFrame, key: str, column: str, names: tuple[str, ...]) -> DataFrame:
-    """(key, y, x, names..) of packed rows (key, width, height, column), a million places to a batch at most."""
+def spread_bytes(packed: DataFrame, key: str, column: str, names: tuple[str, ...], marked: bool = False) -> DataFrame:
+    """(key, y, x, names..) of packed rows (key, width, height, column), a million places to a batch at most.
+
+    If ``marked``, rows may have one byte more a place, which is 0 where there is nothing.
+    """
     import pyarrow as pa
 
     kind = packed.schema[key].dataType.simpleString()
@@ -106,12 +109,17 @@ def spread_bytes(packed: DataFrame, key: str, column: str, names: tuple[str, ...
             for k, w, h, data in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if not data.is_valid:
                     continue
-                a, step = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, len(names)), max(1, 1_000_000 // max(1, w))
+                flat, step = np.frombuffer(data.as_buffer(), np.uint8), max(1, 1_000_000 // max(1, w))
+                marks = marked and len(flat) > h * w * len(names)
+                a = flat.reshape(h, w, len(names) + marks)
                 for y in range(0, h, step):
                     part = a[y : y + step]
                     n = part.shape[0] * w
                     ys, xs = np.repeat(np.arange(y, y + part.shape[0], dtype=np.int32), w), np.tile(np.arange(w, dtype=np.int32), part.shape[0])
                     values = [part[..., c].ravel().astype(np.int32) for c in range(len(names))]
+                    if marks:
+                        there = part[..., -1].ravel() != 0
+                        n, ys, xs, values = int(there.sum()), ys[there], xs[there], [v[there] for v in values]
                     yield pa.RecordBatch.from_arrays([pa.repeat(k, n), pa.array(ys), pa.array(xs), *map(pa.array, values)], [key, "y", "x", *names])
 
     return packed.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, y int, x int, " + ", ".join(f"{c} int" for c in names))
